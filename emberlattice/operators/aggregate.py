@@ -19,7 +19,6 @@ from emberlattice.operators.lattice import edge_bins, window_overlap
 from emberlattice.operators.order_stats import quantiles, ranked_counts, quantile_columns
 from emberlattice.operators.spatial import points_in_boxes, radius_join
 
-_ONE = F.lit(1)
 
 
 def _rows(name: str = "n") -> Column:

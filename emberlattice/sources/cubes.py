@@ -12,12 +12,13 @@ def flatten_grid(
 ) -> DataFrame:
     """Long rows (other columns..., latitude, longitude, value) of cubes with 1-d axes."""
     others = [c for c in cubes.columns if c not in (values, lat_axis, lon_axis)]
-    rows = cubes.select(*others, lon_axis, F.posexplode(F.arrays_zip(lat_axis, values)).alias("_i", "_r"))
-    rows = rows.select(*others, F.col("_r")[lat_axis].alias("latitude"),
-                       F.explode(F.arrays_zip(lon_axis, F.col("_r")[values])).alias("_c"))
-    # arrays_zip names unnamed fields by position.
-    flat = rows.select(
-        *others, "latitude", F.col("_c")[lon_axis].alias("longitude"), F.col("_c")["1"].alias(out)
+    rows = cubes.select(
+        *others, F.col(lon_axis).alias("_lon"),
+        F.explode(F.arrays_zip(F.col(lat_axis).alias("y"), F.col(values).alias("v"))).alias("_r"),
+    ).select(*others, "_lon", F.col("_r.y").alias("latitude"), F.col("_r.v").alias("_v"))
+    cells = rows.select(*others, "latitude", F.explode(F.arrays_zip("_lon", "_v")).alias("_c"))
+    flat = cells.select(
+        *others, "latitude", F.col("_c._lon").alias("longitude"), F.col("_c._v").alias(out)
     )
     return flat if keep_null else flat.where(F.col(out).isNotNull())
 
@@ -28,21 +29,13 @@ def flatten_curvilinear(
 ) -> DataFrame:
     """Long rows of cubes whose latitude and longitude are 2-d arrays of the value shape."""
     others = [c for c in cubes.columns if c not in (values, lats, lons)]
-    rows = cubes.select(*others, F.explode(F.arrays_zip(lats, lons, values)).alias("_r"))
-    cells = rows.select(
-        *others,
-        F.explode(
-            F.arrays_zip(
-                F.col("_r")[lats].alias("a"), F.col("_r")[lons].alias("o"), F.col("_r")[values].alias("v")
-            )
-        ).alias("_c"),
+    rows = cubes.select(*others, F.explode(F.arrays_zip(lats, lons, values)).alias("_r")).select(
+        *others, F.col("_r")[lats].alias("_y"), F.col("_r")[lons].alias("_x"),
+        F.col("_r")[values].alias("_v"),
     )
-    flat = cells.select(
-        *others, F.col("_c").getField("0").alias("latitude"), F.col("_c").getField("1").alias("longitude"),
-        F.col("_c").getField("2").alias(out),
-    ) if cells.schema["_c"].dataType.names[0] == "0" else cells.select(
-        *others, F.col("_c.a").alias("latitude"), F.col("_c.o").alias("longitude"),
-        F.col("_c.v").alias(out),
+    flat = rows.select(*others, F.explode(F.arrays_zip("_y", "_x", "_v")).alias("_c")).select(
+        *others, F.col("_c._y").alias("latitude"), F.col("_c._x").alias("longitude"),
+        F.col("_c._v").alias(out),
     )
     return flat if keep_null else flat.where(F.col(out).isNotNull())
 

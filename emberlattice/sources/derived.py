@@ -59,7 +59,7 @@ def fine_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("exposure_id"),
+        F.col("p_partkey").alias("point_id"),
         ((36850 + 13 * (F.col("p_partkey") % 400)).cast("double") / 1000).alias("latitude"),
         ((-9400 + 17 * ((F.col("p_partkey") * 7) % 190)).cast("double") / 1000).alias("longitude"),
         ((F.round(F.col("p_retailprice") * 100 - 89000).cast("long") * F.col("p_size"))

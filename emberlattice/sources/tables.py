@@ -29,17 +29,24 @@ def read_daily_table(
     return df
 
 
-def scan_years(
-    spark: SparkSession, path: str, years: Sequence[int], schema: T.StructType, fmt: str = "csv"
+def scan_named(
+    spark: SparkSession, path: str, tokens: Sequence[str], schema: T.StructType, fmt: str = "csv"
 ) -> DataFrame:
-    """All files of a folder whose name holds one of the years; other files are not opened."""
-    pattern = "*{" + ",".join(str(y) for y in years) + "}*"
+    """All files of a folder whose name holds one of the tokens; other files are not opened."""
+    pattern = "*{" + ",".join(tokens) + "}*"
     reader = spark.read.schema(schema).option("pathGlobFilter", pattern)
     if fmt == "csv":
         reader = reader.option("header", True)
     return nan_to_null(reader.format(fmt).load(path))
 
 
+def scan_years(
+    spark: SparkSession, path: str, years: Sequence[int], schema: T.StructType, fmt: str = "csv"
+) -> DataFrame:
+    """All files of a folder whose name holds one of the years."""
+    return scan_named(spark, path, [str(y) for y in years], schema, fmt)
+
+
 def scan_tiles_bbox(tiles: DataFrame, box: Sequence[float]) -> DataFrame:
     """Tile rows (left, bottom, right, top) whose bounds touch the box."""
     south, north, west, east = box
