@@ -17,7 +17,7 @@ from emberlattice.functions.bands import OUT_OF_RANGE
 from emberlattice.operators.clean import in_box, in_month
 from emberlattice.operators.lattice import edge_bins, window_overlap
 from emberlattice.operators.order_stats import quantiles, ranked_counts, quantile_columns
-from emberlattice.operators.spatial import points_in_boxes, radius_join
+from emberlattice.operators.spatial import nearest_if_lonely, points_in_boxes, radius_pairs
 
 
 
@@ -195,10 +195,7 @@ def radius_stats(
         .agg(_rows("copies"))
         .select(*by, degrees("_y").alias("latitude"), degrees("_x").alias("longitude"), "value", "copies")
     )
-    pairs = radius_join(targets, sites, ["value", "copies"], radius, by, expand=expand)
-    pairs = pairs.withColumn(
-        "copies", F.when(F.col("fallback"), F.lit(1).cast("long")).otherwise(F.col("copies"))
-    )
+    pairs = radius_pairs(targets, sites, ["value", "copies"], radius, by, expand)
     n, v = F.col("copies"), F.col("value")
     weight = n / (planar_distance("d2") + F.lit(1e-10))
     keys = [*by, "ly", "lx"]
@@ -214,16 +211,22 @@ def radius_stats(
         total.alias("count_1km_points"),
     )
     m = F.col("fwi_aggregated_mean")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_ss") / F.col("count_1km_points") - m * m))
     stats = stats.withColumn(
-        "fwi_std",
-        F.when(F.col("fwi_min") == F.col("fwi_max"), F.lit(0.0)).otherwise(
-            F.sqrt(F.greatest(F.lit(0.0), F.col("_ss") / F.col("count_1km_points") - m * m))
-        ),
+        "fwi_std", F.when(F.col("fwi_min") == F.col("fwi_max"), F.lit(0.0)).otherwise(spread)
     ).drop("_ss")
     ranked = ranked_counts(pairs, "value", keys, weight=n)
     median = ranked.groupBy(*keys).agg(*quantile_columns([0.5], ["fwi_aggregated_median"]))
+    inside = stats.join(median, keys)
+    alone = nearest_if_lonely(targets, sites, ["value"], radius, by, expand).select(
+        *keys,
+        *[v.alias(c) for c in ("fwi_aggregated_mean", "fwi_aggregated_median",
+                               "fwi_aggregated_weighted", "fwi_min", "fwi_max")],
+        F.lit(0.0).alias("fwi_std"),
+        F.lit(1).cast("long").alias("count_1km_points"),
+    )
     return (
-        stats.join(median, keys)
+        inside.unionByName(alone)
         .withColumns({"latitude": degrees("ly"), "longitude": degrees("lx")})
         .drop("ly", "lx")
     )

@@ -334,27 +334,51 @@ def radius_join(
 
     ``right`` must hold one row per coordinate (aggregate first); copies are kept as they are.
     """
-    by = list(by)
-    r = round(radius * TICKS)
+    inside = radius_pairs(left, right, payload, radius, by, expand).withColumn(
+        "fallback", F.lit(False)
+    )
+    if not fallback:
+        return inside
+    outside = nearest_if_lonely(left, right, payload, radius, by, expand, first_radius)
+    return inside.unionByName(outside.withColumn("fallback", F.lit(True)))
+
+
+def _radius_sides(left, right, payload, by):
     coords = _coordinates(left, by, "latitude", "longitude")
     sites = right.select(
         *by, ticks("latitude").alias("ry"), ticks("longitude").alias("rx"),
         F.struct(*payload).alias("p"),
     )
-    pairs = candidate_pairs(coords, sites, r, by, expand)
-    cols = [*by, "ly", "lx", "ry", "rx", "d2", *[F.col("p")[c].alias(c) for c in payload]]
-    inside = pairs.select(*cols, F.lit(False).alias("fallback"))
-    if not fallback:
-        return inside
-    lonely = _without_neighbour(coords, sites, r, by, expand)
+    return coords, sites
+
+
+def radius_pairs(
+    left: DataFrame, right: DataFrame, payload: Sequence[str], radius: float,
+    by: Sequence[str] = ("date",), expand: str = "left",
+) -> DataFrame:
+    """The pairs of ``radius_join`` within the radius only."""
+    by = list(by)
+    coords, sites = _radius_sides(left, right, payload, by)
+    pairs = candidate_pairs(coords, sites, round(radius * TICKS), by, expand)
+    return pairs.select(
+        *by, "ly", "lx", "ry", "rx", "d2", *[F.col("p")[c].alias(c) for c in payload]
+    )
+
+
+def nearest_if_lonely(
+    left: DataFrame, right: DataFrame, payload: Sequence[str], radius: float,
+    by: Sequence[str] = ("date",), expand: str = "left", first_radius: float | None = None,
+) -> DataFrame:
+    """One pair with the nearest right point for each left coordinate with none in the radius."""
+    by = list(by)
+    coords, sites = _radius_sides(left, right, payload, by)
+    lonely = _without_neighbour(coords, sites, round(radius * TICKS), by, expand)
     unique = sites.groupBy(*by, "ry", "rx").agg(F.min("p").alias("p"))
     nearest = _search_beyond(lonely, unique, round((first_radius or radius) * TICKS), by)
-    outside = nearest.select(
+    return nearest.select(
         *by, "ly", "lx", F.col("best.ry").alias("ry"), F.col("best.rx").alias("rx"),
         F.col("best.d2").alias("d2"), *[F.col("best.p")[c].alias(c) for c in payload],
-        F.lit(True).alias("fallback"),
     )
-    return inside.unionByName(outside)
 
 
 def lattice_interpolate(
