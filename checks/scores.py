@@ -12,6 +12,7 @@ from emberlattice.operators.aggregate import radius_stats
 from emberlattice.operators.joins import merge_daily
 from emberlattice.plans import closure
 from emberlattice.schema import FEATURE_CATEGORIES
+from emberlattice.session import materialise
 from emberlattice.sources import derived as D
 
 G, FP = ["grid_daily"], ["fine_pred"]
@@ -66,6 +67,11 @@ def _(spark, sf):
         "Mean": "fwi_aggregated_mean", "Median": "fwi_aggregated_median", "Weighted": "fwi_aggregated_weighted"})
 
 
+def point_metrics(spark, sf):
+    """Stored once: the summaries read it several times."""
+    return materialise(M.grid_point_metrics(merged(spark, sf), "fwi", "fwi_aggregated"))
+
+
 _COLS = ["rmse", "correlation", "r_squared", "mae", "bias"]
 
 
@@ -73,7 +79,7 @@ _COLS = ["rmse", "correlation", "r_squared", "mae", "bias"]
     " UNION ALL ".join(f"SELECT '{c}' AS metric, avg({c}) AS mean, median({c}) AS median, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max FROM pm" for c in _COLS),
     [*G, *FP], [*MERGED_STEPS, ("pm", _POINT)]), ["mean", "median", "std", "min", "max"])
 def _(spark, sf):
-    return M.metric_summary(M.grid_point_metrics(merged(spark, sf), "fwi", "fwi_aggregated"), _COLS)
+    return M.metric_summary(point_metrics(spark, sf), _COLS)
 
 
 def _bands(col, cuts):
@@ -88,7 +94,7 @@ def _bands(col, cuts):
         + ["SELECT 'combined', 'High performance', count(*) FILTER (r_squared>0.5 AND rmse<(SELECT median(rmse) FROM pm)), 100.0*count(*) FILTER (r_squared>0.5 AND rmse<(SELECT median(rmse) FROM pm))/count(*) FROM pm"]),
     [*G, *FP], [*MERGED_STEPS, ("pm", _POINT)]), ["pct"])
 def _(spark, sf):
-    return M.performance_bands(M.grid_point_metrics(merged(spark, sf), "fwi", "fwi_aggregated"))
+    return M.performance_bands(point_metrics(spark, sf))
 
 
 _MODEL_STEPS = [("f", _xy("pred_models", "model, date, fwi_predicted")), BOX_STEPS[1],

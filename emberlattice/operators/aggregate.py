@@ -18,6 +18,7 @@ from emberlattice.operators.clean import in_box, in_month
 from emberlattice.operators.lattice import edge_bins, window_overlap
 from emberlattice.operators.order_stats import quantiles, ranked_counts, quantile_columns
 from emberlattice.operators.spatial import nearest_if_lonely, points_in_boxes, radius_pairs
+from emberlattice.session import materialise
 
 
 
@@ -195,7 +196,9 @@ def radius_stats(
         .agg(_rows("copies"))
         .select(*by, degrees("_y").alias("latitude"), degrees("_x").alias("longitude"), "value", "copies")
     )
-    pairs = radius_pairs(targets, sites, ["value", "copies"], radius, by, expand)
+    # Stored once: the statistics, the ranking for the median and the search for lonely targets
+    # read the pairs five times.
+    pairs = materialise(radius_pairs(targets, sites, ["value", "copies"], radius, by, expand))
     n, v = F.col("copies"), F.col("value")
     weight = n / (planar_distance("d2") + F.lit(1e-10))
     keys = [*by, "ly", "lx"]
@@ -218,7 +221,7 @@ def radius_stats(
     ranked = ranked_counts(pairs, "value", keys, weight=n)
     median = ranked.groupBy(*keys).agg(*quantile_columns([0.5], ["fwi_aggregated_median"]))
     inside = stats.join(median, keys)
-    alone = nearest_if_lonely(targets, sites, ["value"], radius, by, expand).select(
+    alone = nearest_if_lonely(targets, sites, ["value"], radius, by, found=pairs).select(
         *keys,
         *[v.alias(c) for c in ("fwi_aggregated_mean", "fwi_aggregated_median",
                                "fwi_aggregated_weighted", "fwi_min", "fwi_max")],

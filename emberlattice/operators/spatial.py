@@ -368,11 +368,19 @@ def radius_pairs(
 def nearest_if_lonely(
     left: DataFrame, right: DataFrame, payload: Sequence[str], radius: float,
     by: Sequence[str] = ("date",), expand: str = "left", first_radius: float | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
-    """One pair with the nearest right point for each left coordinate with none in the radius."""
+    """One pair with the nearest right point for each left coordinate with none in the radius.
+
+    ``found`` may pass pairs that are already stored, to tell the lonely coordinates from.
+    """
     by = list(by)
     coords, sites = _radius_sides(left, right, payload, by)
-    lonely = _without_neighbour(coords, sites, round(radius * TICKS), by, expand)
+    if found is None:
+        lonely = _without_neighbour(coords, sites, round(radius * TICKS), by, expand)
+    else:
+        keys = [*by, "ly", "lx"]
+        lonely = coords.join(found.select(*keys).distinct(), keys, "left_anti")
     unique = sites.groupBy(*by, "ry", "rx").agg(F.min("p").alias("p"))
     nearest = _search_beyond(lonely, unique, round((first_radius or radius) * TICKS), by)
     return nearest.select(

@@ -14,6 +14,7 @@ from emberlattice.operators.metrics import global_metrics, model_leaderboard
 from emberlattice.operators.order_stats import quantile_columns, ranked_counts
 from emberlattice.operators.spatial import points_in_boxes
 from emberlattice.schema import KEYS, MERGE_BOX, WIDENED_BOX
+from emberlattice.session import materialise
 
 
 def align_inputs(
@@ -53,6 +54,7 @@ def leaderboard(merged: DataFrame) -> DataFrame:
 
 def validation_summary(merged: DataFrame) -> DataFrame:
     """One nested row per model: metrics, spatial coverage and value distributions."""
+    merged = materialise(merged)  # read once per part of the summary
     metrics = global_metrics(merged, "fwi", "fwi_aggregated", ["model"])
     names = [c for c in metrics.columns if c != "model"]
     cover = merged.groupBy("model").agg(
