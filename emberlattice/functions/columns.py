@@ -22,10 +22,14 @@ def as_col(c) -> Column:
 
 def ticks(c, per_degree: int = TICKS) -> Column:
     """Degrees -> integer ticks (1e-4 degree by default)."""
+    if isinstance(c, str):  # one parsed expression is much cheaper to build than four calls
+        return F.expr(f"CAST(rint({c} * {per_degree}D) AS BIGINT)")
     return F.rint(as_col(c) * F.lit(float(per_degree))).cast("long")
 
 
 def degrees(c, per_degree: int = TICKS) -> Column:
+    if isinstance(c, str):
+        return F.expr(f"CAST({c} AS DOUBLE) / {per_degree}D")
     return as_col(c).cast("double") / F.lit(float(per_degree))
 
 
@@ -72,6 +76,8 @@ def distance2(lat1, lon1, lat2, lon2) -> Column:
 
 
 def planar_distance(d2, per_degree: int = TICKS) -> Column:
+    if isinstance(d2, str):
+        return F.expr(f"sqrt(CAST({d2} AS DOUBLE)) / {per_degree}D")
     return F.sqrt(as_col(d2).cast("double")) / F.lit(float(per_degree))
 
 

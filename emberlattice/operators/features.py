@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlattice.functions import degrees, finite, planar_distance, ticks
 from emberlattice.operators.aggregate import downsample, downsample_with_spread
 from emberlattice.operators.clean import min_group_size
 from emberlattice.operators.order_stats import quantiles
-from emberlattice.operators.spatial import nearest_join, radius_join
+from emberlattice.operators.spatial import (
+    nearest_if_lonely, nearest_join, radius_pairs, target_keys,
+)
 
 WEIGHT_OFFSET = 0.001
 # ---- Fixed values: last-resort features ---------------------------------------------------------
@@ -26,6 +27,16 @@ def _names(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumns({"target_lat": degrees("ly"), "target_lon": degrees("lx")}).drop("ly", "lx")
 
 
+def _neighbourhoods(targets, source, payload, radius, by, summarise) -> DataFrame:
+    """``summarise`` applied to the pairs within the radius and to the nearest pairs of the rest.
+
+    The two parts are summarised apart, so the first keeps the partitioning of its join.
+    """
+    inside = summarise(radius_pairs(targets, source, payload, radius, by, "right"))
+    alone = summarise(nearest_if_lonely(targets, source, payload, radius, by, "right"))
+    return _names(inside.unionByName(alone).drop("cy", "cx"), by)
+
+
 def coarse_features(
     fine: DataFrame, coarse: DataFrame, measures: Sequence[str], radius: float,
     pick: str = "nearest", by: Sequence[str] = ("date",),
@@ -36,7 +47,7 @@ def coarse_features(
     ``pick='nearest'`` chooses the nearest node, ``pick='first'`` the southernmost, then westernmost.
     """
     by = list(by)
-    pairs = radius_join(fine, coarse, list(measures), radius, by)
+    keys = target_keys(by, "right")
     node = F.struct("ry", "rx", *measures)
     rank = F.struct("d2", "ry", "rx") if pick == "nearest" else F.struct("ry", "rx")
     aggs = [F.min_by(node, rank).alias("node"), F.min("d2").alias("d2"), F.count(F.lit(1)).alias("n")]
@@ -46,17 +57,16 @@ def coarse_features(
             F.when(several, F.avg(m)).alias(f"coarse_{m}_mean"),
             F.when(several & (F.count(m) > 1), F.stddev_samp(m)).alias(f"coarse_{m}_std"),
         ]
-    out = pairs.groupBy(*by, "ly", "lx").agg(*aggs)
     extra = [f"coarse_{m}_{s}" for m in measures for s in ("mean", "std")]
-    return _names(
-        out.select(
-            *by, "ly", "lx",
-            *[F.col("node")[m].alias(f"coarse_{m}") for m in measures],
-            planar_distance("d2").alias("coarse_distance"),
-            degrees("node.ry").alias("coarse_lat"), degrees("node.rx").alias("coarse_lon"),
-            F.col("n").alias("coarse_n"), *extra,
-        ),
-        by,
+    out = _neighbourhoods(
+        fine, coarse, list(measures), radius, by, lambda pairs: pairs.groupBy(*keys).agg(*aggs)
+    )
+    return out.select(
+        *by, "target_lat", "target_lon",
+        *[F.col("node")[m].alias(f"coarse_{m}") for m in measures],
+        planar_distance("d2").alias("coarse_distance"),
+        degrees("node.ry").alias("coarse_lat"), degrees("node.rx").alias("coarse_lon"),
+        F.col("n").alias("coarse_n"), *extra,
     )
 
 
@@ -85,7 +95,7 @@ def training_pairs(
 def _slope(value: str, axis: str, before: Column, after: Column) -> Column:
     """Second-order difference on uneven spacing, one-sided at the ends, null on zero spacing."""
     f, x = F.col(value), F.col(axis).cast("double")
-    hs, hd = x - before["x"], after["x"] - x
+    hs, hd = x - before[axis], after[axis] - x
     central = F.try_divide(
         hs * hs * after["f"] + (hd * hd - hs * hs) * f - hd * hd * before["f"], hs * hd * (hd + hs)
     )
@@ -105,20 +115,26 @@ def with_gradients(
 
     Windows hold the neighbours of one target only, which the radius bounds.
     """
-    order = W.partitionBy(*keys).orderBy("ry", "rx")
-    earlier, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    new = {}
+    frame = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY ry, rx)"
+    points = {
+        f"_p_{m}": F.when(
+            F.col(m).isNotNull(),
+            F.struct(F.col(m).alias("f"), F.col("ry").cast("double").alias("ry"), F.col("rx").cast("double").alias("rx")),
+        )
+        for m in measures
+    }
+    beside = {}
+    for p in points:
+        beside[f"{p}_b"] = F.expr(f"lag({p}) IGNORE NULLS {frame}")
+        beside[f"{p}_a"] = F.expr(f"lead({p}) IGNORE NULLS {frame}")
+    slopes = {}
     for m in measures:
         for name, axis in (("lat", "ry"), ("lon", "rx")):
-            point = F.when(
-                F.col(m).isNotNull(), F.struct(F.col(m).alias("f"), F.col(axis).cast("double").alias("x"))
-            )
-            before = F.last(point, ignorenulls=True).over(earlier)
-            after = F.first(point, ignorenulls=True).over(later)
-            new[f"_g_{m}_{name}"] = F.when(
+            before, after = F.col(f"_p_{m}_b"), F.col(f"_p_{m}_a")
+            slopes[f"_g_{m}_{name}"] = F.when(
                 F.col(m).isNotNull(), _slope(m, axis, before, after) * F.lit(per_degree)
             )
-    return pairs.withColumns(new)
+    return pairs.withColumns(points).withColumns(beside).withColumns(slopes).drop(*points, *beside)
 
 
 def neighbour_gradient(
@@ -127,18 +143,18 @@ def neighbour_gradient(
 ) -> DataFrame:
     """Mean slope of the neighbours within the radius along latitude and longitude (>= 3 needed)."""
     by = list(by)
-    keys = [*by, "ly", "lx"]
-    pairs = radius_join(targets, source, [value], radius, by, expand="right")
-    graded = with_gradients(pairs, keys, [value], 10_000.0)
+    keys = target_keys(by, "right")
     enough = F.count(F.lit(1)) >= 3
-    return _names(
-        graded.groupBy(*keys).agg(
+
+    def summarise(pairs):
+        graded = with_gradients(pairs, keys, [value], 10_000.0)
+        return graded.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
             F.when(enough, F.avg(f"_g_{value}_lat")).alias("lat_gradient"),
             F.when(enough, F.avg(f"_g_{value}_lon")).alias("lon_gradient"),
-        ),
-        by,
-    )
+        )
+
+    return _neighbourhoods(targets, source, [value], radius, by, summarise)
 
 
 def idw_features(
@@ -152,12 +168,7 @@ def idw_features(
     The source is the small side: it is copied into the cells it reaches, targets are not.
     """
     by = list(by)
-    keys = [*by, "ly", "lx"]
-    pairs = radius_join(targets, source, list(measures), radius, by, expand="right")
-    weight = 1 / (planar_distance("d2") + F.lit(WEIGHT_OFFSET))
-    pairs = pairs.withColumn("w", weight)
-    if gradient_of:
-        pairs = with_gradients(pairs, keys, [gradient_of], 10_000.0)
+    keys = target_keys(by, "right")
     n = F.count(F.lit(1))
     aggs = []
     for m in measures:
@@ -181,7 +192,14 @@ def idw_features(
         (F.avg("rx") / 10_000.0).alias("coarse_lon"),
         n.alias("coarse_n"),
     ]
-    return _names(pairs.groupBy(*keys).agg(*aggs), by)
+
+    def summarise(pairs):
+        weighted = pairs.withColumn("w", 1 / (planar_distance("d2") + F.lit(WEIGHT_OFFSET)))
+        if gradient_of:
+            weighted = with_gradients(weighted, keys, [gradient_of], 10_000.0)
+        return weighted.groupBy(*keys).agg(*aggs)
+
+    return _neighbourhoods(targets, source, list(measures), radius, by, summarise)
 
 
 def default_features(
@@ -238,13 +256,10 @@ def downscaled_features(
     usable value. A point with one node in reach also gets that node's range.
     """
     by = list(by)
-    keys = [*by, "ly", "lx"]
+    keys = target_keys(by, "right")
     stats = [f"{m}{s}" for m in measures for s in ("", "_std", "_range")]
     nodes = downsample_with_spread(daily, measures, step, by)
     nodes = nodes.withColumns({c: finite(c) for c in stats})
-    pairs = radius_join(points, nodes, stats, radius, by)
-    pairs = pairs.withColumn("w", 1 / (planar_distance("d2") + F.lit(WEIGHT_OFFSET)))
-    pairs = with_gradients(pairs, keys, list(measures), 10_000.0)
     n = F.count(F.lit(1))
 
     def weighted(c):
@@ -266,4 +281,9 @@ def downscaled_features(
         (F.avg("ry") / 10_000.0).alias("feature_spatial_lat_50km"),
         (F.avg("rx") / 10_000.0).alias("feature_spatial_lon_50km"),
     ]
-    return _names(pairs.groupBy(*keys).agg(*aggs), by)
+
+    def summarise(pairs):
+        weighted_pairs = pairs.withColumn("w", 1 / (planar_distance("d2") + F.lit(WEIGHT_OFFSET)))
+        return with_gradients(weighted_pairs, keys, list(measures), 10_000.0).groupBy(*keys).agg(*aggs)
+
+    return _neighbourhoods(points, nodes, stats, radius, by, summarise)

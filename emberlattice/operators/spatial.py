@@ -42,33 +42,25 @@ def _sites(
     )
 
 
-def _cell(c: str, size: int) -> Column:
-    return floor_div(F.col(c), size)
-
-
-def _with_cells(df: DataFrame, y: str, x: str, size: int, reach: int = 0) -> DataFrame:
-    """Add (cy, cx); with reach=1 one row per cell of the 3x3 neighbourhood."""
-    if reach == 0:
-        return df.withColumns({"cy": _cell(y, size), "cx": _cell(x, size)})
-    offsets = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
-    return (
-        df.withColumn("cy", F.explode(F.transform(offsets, lambda o: _cell(y, size) + o)))
-        .withColumn("cx", F.explode(F.transform(offsets, lambda o: _cell(x, size) + o)))
-    )
+def _with_cells(df: DataFrame, y: str, x: str, size: int) -> DataFrame:
+    """Add the cell (cy, cx) of the row."""
+    return df.withColumns({"cy": F.expr(f"floor({y} / {size}D)"), "cx": F.expr(f"floor({x} / {size}D)")})
 
 
 def _near_cells(df: DataFrame, y: str, x: str, size: int, r: int) -> DataFrame:
     """Add (cy, cx) for exactly the cells a square of half side r (ticks) around the row touches."""
 
     def span(c):
-        return F.sequence(floor_div(F.col(c) - r, size), floor_div(F.col(c) + r, size))
+        return F.expr(f"explode(sequence(floor(({c} - {r}) / {size}D), floor(({c} + {r}) / {size}D)))")
+
+    return df.withColumn("cy", span(y)).withColumn("cx", span(x))
 
-    return df.withColumn("cy", F.explode(span(y))).withColumn("cx", F.explode(span(x)))
+
+_D2 = "(ly - ry) * (ly - ry) + (lx - rx) * (lx - rx)"
 
 
 def _d2() -> Column:
-    dy, dx = F.col("ly") - F.col("ry"), F.col("lx") - F.col("rx")
-    return dy * dy + dx * dx
+    return F.expr(_D2)
 
 
 def candidate_pairs(
@@ -90,14 +82,25 @@ def candidate_pairs(
     return (
         left.join(right, keys)
         .withColumn("d2", _d2())
-        .where(F.col("d2") <= F.lit(r * r).cast("long"))
-        .drop("cy", "cx")
+        .where(f"d2 <= {r * r}L")
     )
 
 
-def _best(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+def target_keys(by: Sequence[str], expand: str) -> list[str]:
+    """Grouping keys of a left coordinate in pair tables.
+
+    A left coordinate that was not copied lies in one cell. With the cell among the keys, grouping
+    reuses the partitioning of the join on (by..., cy, cx) and needs no further shuffle.
+    """
+    return [*by, "cy", "cx", "ly", "lx"] if expand == "right" else [*by, "ly", "lx"]
+
+
+def _best(pairs: DataFrame, by: Sequence[str], expand: str = "left") -> DataFrame:
     """(by..., ly, lx, best) with best = struct(d2, ry, rx, p): the nearest pair per coordinate."""
-    return pairs.groupBy(*by, "ly", "lx").agg(F.min(F.struct("d2", "ry", "rx", "p")).alias("best"))
+    best = pairs.groupBy(*target_keys(by, expand)).agg(
+        F.min(F.struct("d2", "ry", "rx", "p")).alias("best")
+    )
+    return best.select(*by, "ly", "lx", "best")
 
 
 def _without_neighbour(
@@ -107,10 +110,8 @@ def _without_neighbour(
     if expand == "right":  # one anti join with the distance test as residual, no copies of coords
         near = _near_cells(sites.select(*by, "ry", "rx"), "ry", "rx", r, r)
         a, b = _with_cells(coords, "ly", "lx", r).alias("a"), near.alias("b")
-        dy, dx = F.col("a.ly") - F.col("b.ry"), F.col("a.lx") - F.col("b.rx")
-        match = dy * dy + dx * dx <= F.lit(r * r).cast("long")
-        for c in (*by, "cy", "cx"):
-            match = match & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        same = " AND ".join(f"a.{c} = b.{c}" for c in (*by, "cy", "cx"))
+        match = F.expr(f"{same} AND {_D2} <= {r * r}L")
         return a.join(b, match, "left_anti").select(*by, "ly", "lx")
     found = candidate_pairs(coords, sites, r, by, expand).select(*by, "ly", "lx").distinct()
     return coords.join(found, [*by, "ly", "lx"], "left_anti")
@@ -133,26 +134,27 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
     base = _with_cells(sites, "ry", "rx", r0).groupBy(*by, "cy", "cx").agg(
         F.min(F.struct("ry", "rx")).alias("rep")
     )
-    scale = F.element_at(F.array(*[F.lit(PYRAMID_FACTOR**k).cast("long") for k in range(len(levels))]),
-                         F.col("k") + 1)
-
     def parents(df, cy, cx):
         """Cell of size r0*4^k holding base cell (cy, cx), for k in column k."""
-        y = F.floor(F.col(cy) / scale).cast("long")
-        x = F.floor(F.col(cx) / scale).cast("long")
-        return df.withColumns({"py": y, "px": x})
+        scale = f"power({PYRAMID_FACTOR}, k)"
+        return df.withColumns(
+            {"py": F.expr(f"floor({cy} / {scale})"), "px": F.expr(f"floor({cx} / {scale})")}
+        )
 
-    all_levels = F.explode(F.array(*[F.lit(k) for k in range(len(levels))]))
+    all_levels = F.expr(f"explode(sequence(0, {len(levels) - 1}))")
     pyramid = (
         parents(base.withColumn("k", all_levels), "cy", "cx")
         .groupBy(*by, "k", "py", "px")
         .agg(F.min("rep").alias("rep"))
     )
-    near = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    def blocks(df):
+        """One row per parent cell of the 3x3 block."""
+        return df.withColumn("py", F.expr("explode(sequence(py - 1, py + 1))")).withColumn(
+            "px", F.expr("explode(sequence(px - 1, px + 1))")
+        )
+
     homes = _with_cells(missing, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"})
-    around = parents(homes.withColumn("k", all_levels), "hy", "hx")
-    around = around.withColumn("py", F.explode(F.transform(near, lambda o: F.col("py") + o)))
-    around = around.withColumn("px", F.explode(F.transform(near, lambda o: F.col("px") + o)))
+    around = blocks(parents(homes.withColumn("k", all_levels), "hy", "hx"))
     # Smallest level first, then the nearest representative on that level.
     bound = (
         around.join(pyramid, [*by, "k", "py", "px"])
@@ -164,14 +166,7 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
         # Level whose cells are at least as wide as the bound: one 3x3 block covers the circle.
         .withColumn(
             "k",
-            F.array_position(
-                F.transform(
-                    F.array(*[F.lit(s * s).cast("long") for s in levels]),
-                    lambda s2: s2 >= F.col("ub"),
-                ),
-                True,
-            ).cast("int")
-            - 1,
+            F.expr("CASE " + " ".join(f"WHEN ub <= {s * s}L THEN {k}" for k, s in enumerate(levels)) + " END"),
         )
     )
     # Map base cells to their parent at each level in use, then list them per coordinate.
@@ -179,16 +174,17 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
     search = parents(
         _with_cells(bound, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"}), "hy", "hx"
     )
-    search = search.withColumn("py", F.explode(F.transform(near, lambda o: F.col("py") + o)))
-    search = search.withColumn("px", F.explode(F.transform(near, lambda o: F.col("px") + o)))
+    search = blocks(search)
 
     def gap(c, x):
-        low = F.col(c) * r0
-        return F.greatest(low - F.col(x), F.col(x) - (low + (r0 - 1)), F.lit(0).cast("long"))
+        return f"greatest({c} * {r0} - {x}, {x} - {c} * {r0} - {r0 - 1}, 0)"
 
     cells = (
         search.join(base_up, [*by, "k", "py", "px"])
-        .withColumn("gap2", gap("cy", "ly") * gap("cy", "ly") + gap("cx", "lx") * gap("cx", "lx"))
+        .withColumn(
+            "gap2",
+            F.expr(f"{gap('cy', 'ly')} * {gap('cy', 'ly')} + {gap('cx', 'lx')} * {gap('cx', 'lx')}"),
+        )
         .where("gap2 <= ub")
         .select(*by, "ly", "lx", "cy", "cx")
     )
@@ -207,7 +203,7 @@ def nearest_sites(
 ) -> DataFrame:
     """(by..., ly, lx, best) for the coordinates that have a nearest site."""
     r = round((radius if radius is not None else first_radius) * TICKS)
-    hit = _best(candidate_pairs(coords, sites, r, by, expand), by)
+    hit = _best(candidate_pairs(coords, sites, r, by, expand), by, expand)
     if radius is not None:
         if not inclusive:
             hit = hit.where(F.col("best.d2") < F.lit(r * r).cast("long"))
@@ -329,7 +325,7 @@ def radius_join(
     expand: str = "left",
     first_radius: float | None = None,
 ) -> DataFrame:
-    """(by..., ly, lx, ry, rx, d2, payload..., fallback): each distinct left coordinate with every
+    """(target keys..., ry, rx, d2, payload..., fallback): each distinct left coordinate with every
     right point within the radius, or with its nearest one when there is none.
 
     ``right`` must hold one row per coordinate (aggregate first); copies are kept as they are.
@@ -356,12 +352,12 @@ def radius_pairs(
     left: DataFrame, right: DataFrame, payload: Sequence[str], radius: float,
     by: Sequence[str] = ("date",), expand: str = "left",
 ) -> DataFrame:
-    """The pairs of ``radius_join`` within the radius only."""
+    """The pairs of ``radius_join`` within the radius only, keyed by ``target_keys``."""
     by = list(by)
     coords, sites = _radius_sides(left, right, payload, by)
     pairs = candidate_pairs(coords, sites, round(radius * TICKS), by, expand)
     return pairs.select(
-        *by, "ly", "lx", "ry", "rx", "d2", *[F.col("p")[c].alias(c) for c in payload]
+        *target_keys(by, expand), "ry", "rx", "d2", *[F.col("p")[c].alias(c) for c in payload]
     )
 
 
@@ -383,8 +379,10 @@ def nearest_if_lonely(
         lonely = coords.join(found.select(*keys).distinct(), keys, "left_anti")
     unique = sites.groupBy(*by, "ry", "rx").agg(F.min("p").alias("p"))
     nearest = _search_beyond(lonely, unique, round((first_radius or radius) * TICKS), by)
+    if expand == "right":
+        nearest = _with_cells(nearest, "ly", "lx", round(radius * TICKS))
     return nearest.select(
-        *by, "ly", "lx", F.col("best.ry").alias("ry"), F.col("best.rx").alias("rx"),
+        *target_keys(by, expand), F.col("best.ry").alias("ry"), F.col("best.rx").alias("rx"),
         F.col("best.d2").alias("d2"), *[F.col("best.p")[c].alias(c) for c in payload],
     )
 
