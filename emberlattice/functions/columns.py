@@ -9,7 +9,7 @@ from emberlattice.schema import KELVIN_OFFSET, KM_PER_DEGREE_LON, NAME_REPLACEME
 
 __all__ = [
     "TICKS", "as_col", "ticks", "degrees", "round_to", "round_coord", "wrap", "kelvin_to_celsius",
-    "clip", "finite", "not_nan", "planar_distance", "distance2", "squared_radius_ticks",
+    "clip", "finite", "not_nan", "planar_distance", "distance2", "pearson",
     "km_per_degree_lon", "clean_name", "month_day", "floor_div", "ceil_div",
 ]
 
@@ -81,9 +81,14 @@ def planar_distance(d2, per_degree: int = TICKS) -> Column:
     return F.sqrt(as_col(d2).cast("double")) / F.lit(float(per_degree))
 
 
-def squared_radius_ticks(radius: float, per_degree: int = TICKS) -> int:
-    r = round(radius * per_degree)
-    return r * r
+def pearson(a, b) -> Column:
+    """Aggregate: Pearson correlation over rows with both values; null when either is constant.
+
+    The built-in ``corr`` raises on a constant column in ANSI mode.
+    """
+    a, b = as_col(a), as_col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def km_per_degree_lon(lat) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from emberlattice.functions import pearson
 from emberlattice.operators.metrics import score_columns
 from emberlattice.operators.order_stats import ecdf, quantiles, ranked_counts
 
@@ -223,7 +224,7 @@ def quantile_pairs(stacked: DataFrame, points: int = 1000) -> DataFrame:
 
 
 def quantile_correlation(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.corr("coarse", "fine").alias("correlation"), F.count(F.lit(1)).alias("n"))
+    return pairs.agg(pearson("coarse", "fine").alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
 # ---- Fixed values: coefficients of algorithm AS 241 (normal quantile, 16 digits) ---------------

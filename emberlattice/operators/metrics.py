@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.functions import finite, quality_label
+from emberlattice.functions import finite, pearson, quality_label
 from emberlattice.operators.order_stats import quantiles, unpivot_columns
 
 SIMPSON_STEPS = 600
@@ -52,7 +52,8 @@ def score_columns(truth: str, pred: str) -> list[Column]:
     varied = (F.min(t) < F.max(t)) & (F.min(p) < F.max(p))
     return [
         n.alias("n_points"),
-        F.when(varied, F.corr(t, p)).alias("correlation"),
+        F.when(varied, F.try_divide(F.covar_pop(t, p), F.stddev_pop(t) * F.stddev_pop(p)))
+        .alias("correlation"),
         F.when(F.min(t) < F.max(t), 1 - F.try_divide(sse, sst)).alias("r_squared"),
         F.sqrt(sse / n).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
@@ -162,10 +163,10 @@ def difference_stats(matched: DataFrame, observed: str, predicted: str, minimum:
     return matched.agg(
         n.alias("n_matched"), F.avg(diff).alias("mean_difference"), F.avg(F.abs(diff)).alias("mae"),
         F.sqrt(F.avg(diff * diff)).alias("rmse"),
-        F.when(n > minimum, F.corr(observed, predicted)).alias("correlation"),
+        F.when(n > minimum, pearson(observed, predicted)).alias("correlation"),
     )
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """One row with a Pearson correlation per (name, left, right)."""
-    return df.agg(*[F.corr(a, b).alias(name) for name, a, b in pairs])
+    return df.agg(*[pearson(a, b).alias(name) for name, a, b in pairs])

@@ -77,7 +77,7 @@ def high_risk_summary(scored: DataFrame, risk: str = "risk", q: float = 0.9) ->
             expr for name in ("North", "Central", "South")
             for expr in (
                 F.count_if(band == name).alias(f"n_{name.lower()}"),
-                (F.count_if(band == name) * 100.0 / n).alias(f"pct_{name.lower()}"),
+                F.try_divide(F.count_if(band == name) * 100.0, n).alias(f"pct_{name.lower()}"),
             )
         ],
         F.avg("latitude").alias("centre_lat"), F.avg("longitude").alias("centre_lon"),

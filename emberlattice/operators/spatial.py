@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.functions import TICKS, floor_div, planar_distance, squared_radius_ticks, ticks
+from emberlattice.functions import TICKS, floor_div, planar_distance, ticks
 
 PYRAMID_FACTOR = 4
 WORLD_TICKS = 720 * TICKS

@@ -63,23 +63,32 @@ def pixels_of_tiles(pixels: DataFrame, tiles: DataFrame, box: Sequence[float], k
 
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",),
-    mode: str = "overwrite", sort: Sequence[str] = KEYS,
+    mode: str = "overwrite", sort: Sequence[str] = KEYS, files_per_slice: int = 1,
 ) -> None:
     """Save a table partitioned by date, sorted inside each file.
 
-    Rows of a date are spread over files by a hash of the row, so a large date is not one task.
+    Rows are gathered per slice first, so tasks do not each write a small file for every date. A
+    large date is split over ``files_per_slice`` files (and tasks) by a hash of its keys.
     """
     inner = [c for c in sort if c in df.columns and c not in partition_by]
-    out = df.sortWithinPartitions(*partition_by, *inner) if inner or partition_by else df
+    out = df
+    if partition_by:
+        slot = F.pmod(F.xxhash64(*(inner or df.columns)), F.lit(files_per_slice))
+        out = out.repartition(*partition_by, slot)
+    if inner or partition_by:
+        out = out.sortWithinPartitions(*partition_by, *inner)
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def append_slices(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",)):
+def append_slices(
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",),
+    files_per_slice: int = 1,
+) -> None:
     """Append the time slices of ``df`` in one job."""
-    write_table(df, path, fmt, partition_by, mode="append")
+    write_table(df, path, fmt, partition_by, "append", files_per_slice=files_per_slice)
 
 
 def write_sample(df: DataFrame, path: str, n: int, keys: Sequence[str] = KEYS, seed: int = 42) -> None:
