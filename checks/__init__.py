@@ -2,5 +2,5 @@
 
 from checks.base import REGISTRY  # noqa: F401
 from checks import (  # noqa: F401
-    aggregates, cleaning, distributions, features, rasters, risks, scores, spatial,
+    aggregates, cleaning, distributions, features, rasters, risks, scores, sinks, spatial,
 )

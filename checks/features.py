@@ -281,7 +281,7 @@ _PREDICT_STEPS = [*node_steps(["fwi"]), _GL, ("pr", pairs_sql("gl", "nd", ["fwi"
 def _(spark, sf):
     """Ridge on the coarse mean, applied to a 0.09 x 0.12 degree lattice of every day."""
     g = D.grid_daily(spark, sf)
-    pairs = E.training_pairs(g, ["fwi"], 0.5, include_target=True)
+    pairs = materialise(E.training_pairs(g, ["fwi"], 0.5, include_target=True))
     model = N.fit_ridge(N.assemble(pairs.select("coarse_fwi", "fine_fwi"), ["coarse_fwi"], "fine_fwi"))
     return N.predict_fine(g, model, ["coarse_fwi"], ["fwi"], 0.09, 0.12)
 

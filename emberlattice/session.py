@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Skip recording a call site for every column expression: plans here hold hundreds of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -24,13 +26,11 @@ def build_session(app: str = "emberlattice", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session that names none (tests)
-    gets a temporary one.
+    Only a local session that names none (tests) gets a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -39,4 +39,10 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="emberlattice-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Store the table once in the shared folder and cut its lineage (reliable checkpoint)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
