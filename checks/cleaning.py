@@ -32,6 +32,13 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
 
 
+@check("S02_read_narrow", "SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS q FROM lineitem GROUP BY 1", ["q"])
+def _(spark, sf):
+    """Two of eleven columns are read; Spark splits the file by size."""
+    df = tables.read_daily_table(spark, f"{sf}/lineitem.parquet", LINE_SCHEMA, "parquet", "l_shipdate")
+    return df.groupBy("date").agg(F.sum("l_quantity").alias("q"))
+
+
 @check("S05_union_all", build(
     "SELECT date, latitude, longitude, fwi, NULL::DOUBLE AS temperature_max FROM fwi_daily UNION ALL"
     " SELECT date, latitude, longitude, NULL, temperature_max FROM temp_daily", ["fwi_daily", "temp_daily"]),
@@ -380,6 +387,19 @@ def _(spark, sf):
     return J.common_dates(g.where("month(date) <= 8"), g.where("month(date) >= 5"))
 
 
+@check("U01_union_by_name", build(
+    "SELECT date, latitude, longitude, fwi AS v FROM fwi_daily UNION ALL SELECT date, latitude, longitude, temperature_max FROM temp_daily", ["fwi_daily", "temp_daily"]), ["v"])
+def _(spark, sf):
+    a = D.fwi_daily(spark, sf).withColumnRenamed("fwi", "v")
+    return C.union_all([a, D.temp_daily(spark, sf).withColumnRenamed("temperature_max", "v")])
+
+
+@check("U02_intersect_dates", build(
+    "SELECT date FROM fine_pred WHERE day(date)<=20 INTERSECT SELECT date FROM grid_daily WHERE day(date)>=10", ["fine_pred", "grid_daily"]))
+def _(spark, sf):
+    return J.common_dates(D.fine_pred(spark, sf).where("day(date) <= 20"), D.grid_daily(spark, sf).where("day(date) >= 10"))
+
+
 @check("U05_distinct_coordinates", build("SELECT DISTINCT latitude, longitude FROM fine_pred", ["fine_pred"]))
 def _(spark, sf):
     return C.distinct_coordinates(D.fine_pred(spark, sf))

@@ -3,15 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.aggregates import MERGED_STEPS, RADIUS_SQL, merged
-from checks.base import build, check, CTES
-from checks.spatial import BOX_STEPS, _xy
-from emberlattice.functions import clean_name
+from checks.base import build, check
+from checks.spatial import BOX_STEPS, _xy, boxes_sql
 from emberlattice.operators import importance as I
 from emberlattice.operators import metrics as M
-from emberlattice.operators.aggregate import radius_stats
-from emberlattice.operators.joins import merge_daily
+from emberlattice.operators.aggregate import daily_cell_mean, radius_stats
+from emberlattice.operators.joins import merge_daily, validate_merge
 from emberlattice.plans import closure
-from emberlattice.schema import FEATURE_CATEGORIES
+from emberlattice.schema import FEATURE_CATEGORIES, SUMMARY_CATEGORIES
 from emberlattice.session import materialise
 from emberlattice.sources import derived as D
 
@@ -56,6 +55,16 @@ def _(spark, sf):
     return M.grid_point_metrics(merged(spark, sf), "fwi", "fwi_aggregated")
 
 
+@check("A13_half_open_closure", build(
+    _POINT.replace("FROM m GROUP", "FROM mh GROUP"), [*G, *FP],
+    [*BOX_STEPS, ("mh", "SELECT b.latitude, b.longitude, b.p, q.fwi FROM (SELECT date, latitude, longitude, avg(fwi_predicted) AS p FROM (" + boxes_sql(1125, "<") + ") GROUP BY 1,2,3) b JOIN grid_daily q USING (date, latitude, longitude)")]), _POINT_COLS)
+def _(spark, sf):
+    """Daily means of half-open cells scored per point over the year."""
+    g = D.grid_daily(spark, sf).select("date", "latitude", "longitude", "fwi")
+    cells = daily_cell_mean(D.fine_pred(spark, sf), g, "fwi_predicted")
+    return M.grid_point_metrics(validate_merge(cells, g, ("fwi_aggregated", "fwi")), "fwi", "fwi_aggregated")
+
+
 @check("A14_metrics_by_method", build(
     with_p(" UNION ALL ".join(f"SELECT '{m}' AS method, {scores_sql('fwi', c)} FROM j" for m, c in
            (("Mean", "fwi_aggregated_mean"), ("Median", "fwi_aggregated_median"), ("Weighted", "fwi_aggregated_weighted")))),
@@ -185,6 +194,14 @@ def _(spark, sf):
     return I.feature_type_counts(D.features_importance(spark, sf))
 
 
+_FIRST = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(feature,'{w}')" for w in ws) + f" THEN '{c}'" for c, ws in SUMMARY_CATEGORIES.items()) + " WHEN contains(feature,'feature_downscaled_') THEN 'Temperature' END"
+
+
+@check("A41_feature_summary_counts", build(f"SELECT {_FIRST} AS category, count(DISTINCT feature) AS n_features FROM features_importance GROUP BY 1 HAVING category IS NOT NULL", FI))
+def _(spark, sf):
+    return I.feature_summary_counts(D.features_importance(spark, sf))
+
+
 _MODELS = D.IMPORTANCE_MODELS
 
 

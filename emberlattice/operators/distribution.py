@@ -121,8 +121,7 @@ def exceedance_curve(stacked: DataFrame, low: float = 30.0, high: float = 80.0,
     sums = per_cut.groupBy("slot").agg(
         *[F.sum(F.when(F.col("source") == s, F.col("n")).otherwise(0)).alias(s) for s in SIDES]
     )
-    every = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    grid = counts.agg(F.count(F.lit(1))).select(every.alias("slot"))
+    grid = stacked.sparkSession.range(points).select(F.col("id").cast("int").alias("slot"))
     return grid.join(F.broadcast(sums), "slot", "left").select(
         F.element_at(table, F.col("slot") + 1).alias("threshold"),
         *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in SIDES],

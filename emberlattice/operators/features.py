@@ -165,7 +165,8 @@ def idw_features(
 
     ``coarse_<v>`` is weighted with 1/(d + 0.001), normalised over all neighbours; statistics need
     more than 2 neighbours and gradients at least 3. Targets without a neighbour use the nearest.
-    The source is the small side: it is copied into the cells it reaches, targets are not.
+    The source is the small side: it is copied into the cells it reaches, targets are not. It holds
+    one row per key (``dedupe_keys`` or ``dedupe_mean`` first), which bounds a neighbourhood.
     """
     by = list(by)
     keys = target_keys(by, "right")

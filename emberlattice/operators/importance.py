@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlattice.functions import clean_name
 from emberlattice.operators.order_stats import quantiles, top_k_per_group
-from emberlattice.schema import FEATURE_CATEGORIES
+from emberlattice.schema import FEATURE_CATEGORIES, SUMMARY_CATEGORIES
 
 
 def normalise_by_model(scores: DataFrame, out: str = "normalised") -> DataFrame:
@@ -71,6 +71,22 @@ def feature_type_counts(features: DataFrame) -> DataFrame:
     )
 
 
+def feature_summary_counts(features: DataFrame) -> DataFrame:
+    """Features per summary category, each counted once; other downscaled ones as Temperature."""
+    name = F.lower("feature")
+    label = F.when(F.lit(False), F.lit(""))
+    for category, words in SUMMARY_CATEGORIES.items():
+        match = F.lit(False)
+        for w in words:
+            match = match | F.contains(name, F.lit(w))
+        label = label.when(match, F.lit(category))
+    label = label.when(F.contains(name, F.lit("feature_downscaled_")), F.lit("Temperature"))
+    return (
+        features.select("feature").distinct().withColumn("category", label)
+        .where("category IS NOT NULL").groupBy("category").agg(F.count(F.lit(1)).alias("n_features"))
+    )
+
+
 def importance_matrix(scores: DataFrame, models: Sequence[str], k: int = 25) -> DataFrame:
     """Feature x model matrix, absent 0, each model scaled by its maximum; the k best rows by mean."""
     wide = normalise_by_model(scores).groupBy("feature").pivot("model", list(models)).agg(

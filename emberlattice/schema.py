@@ -86,6 +86,17 @@ FEATURE_CATEGORIES = {
     "Variability": ["variability", "range", "std"],
 }
 
+# Summary category -> keywords; a feature counts in the first category that matches.
+SUMMARY_CATEGORIES = {
+    "Temperature": ["temp", "2m"],
+    "Humidity": ["humidity", "rh", "dewpoint"],
+    "Wind": ["wind", "component", "speed"],
+    "Precipitation": ["precip", "rain", "tp"],
+    "Spatial": ["spatial", "distance", "lat", "lon"],
+    "Gradient": ["gradient"],
+    "Variability": ["variability", "var", "std", "range"],
+}
+
 # Display names: ordered replacements.
 NAME_REPLACEMENTS = [
     ("feature_downscaled_", ""),

@@ -123,7 +123,10 @@ def pred_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cube_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """grid_daily folded to one row per date: axis arrays and a 2-d value array with gaps as null."""
+    """grid_daily folded to one row per date: axis arrays and a 2-d value array with gaps as null.
+
+    A slice has at most 22 x 14 cells by construction, whatever the table size.
+    """
     cells = grid_daily(spark, sf_dir).groupBy("date").agg(
         F.sort_array(F.collect_set("latitude")).alias("lat_axis"),
         F.sort_array(F.collect_set("longitude")).alias("lon_axis"),
