@@ -79,7 +79,8 @@ def landcover_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _residue():
-    """Small integer made of the key, used to drop different rows from each daily table."""
+    """Small integer made of the key. Each daily table lacks the rows of one residue, so inner, outer
+    and overlay joins give different results; about 10/11 of all rows stay in each table."""
     day = F.datediff(F.col("date"), F.lit("2017-01-01").cast("date"))
     lat = F.round(F.col("latitude") * 1000).cast("long")
     lon = F.round(F.col("longitude") * 1000).cast("long") + 200000
@@ -188,7 +189,7 @@ def features_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.col("l_quantity") * (F.col("l_linenumber") - 1)).cast("double").alias("a"),
             F.sum(F.col("l_quantity") * 7).cast("double").alias("b"),
         )
-        # Model and feature pairs with the same residue are left out, so names differ per model.
+        # Some (model, feature) pairs are left out, so that models differ in their feature names.
         .where("(mi * 3 + fi) % 7 <> 0")
     )
     return per.select(
