@@ -1,7 +1,5 @@
 """Spatial, temporal and descriptive aggregates."""
 
-from pyspark.sql import functions as F
-
 from checks.base import build, check, tk
 from checks.spatial import BOX_STEPS, _xy, boxes_sql, nodes_sql
 from emberlattice.functions import round_to

@@ -44,10 +44,6 @@ def _(spark, sf):
     return Z.mosaic([px.where("pix_col < 70"), second])
 
 
-def _thin(x, full, small):
-    return f"JOIN (SELECT r, CAST(floor((2*r+1)*{full}/(2.0*{small})) AS BIGINT) AS src FROM (SELECT unnest(range(0, {small})) AS r))"
-
-
 @check("P31_thin_raster", build(
     "SELECT CAST(a.r AS BIGINT) AS pix_row, CAST(b.r AS BIGINT) AS pix_col, p.landcover FROM landcover_pixels p"
     " JOIN (SELECT r, CAST((2*r+1)*h//(2*(h//7)) AS BIGINT) AS src FROM (SELECT h, unnest(range(0, h//7)) AS r FROM s)) a ON a.src=p.pix_row"

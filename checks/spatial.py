@@ -6,8 +6,6 @@ from checks.base import build, check, tk
 from emberlattice.functions import degrees, ticks
 from emberlattice.operators import lattice as L
 from emberlattice.operators import spatial as S
-from emberlattice.operators.aggregate import temporal_mean
-from emberlattice.operators.clean import in_month
 from emberlattice.sources import derived as D
 
 G, FP = ["grid_daily"], ["fine_pred"]
@@ -204,7 +202,6 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("fwi").alias("s"), F.bool_or("fallback").alias("fallback"))
 
 
-_SQ = "floor((y-36750*10)/2500.0)"
 _CORNER = "LEFT JOIN r AS {a} ON {a}.date=t.date AND {a}.y=t.sy+{dy} AND {a}.x=t.sx+{dx}"
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.operators.aggregate import exceedance_days
 from emberlattice.operators.clean import in_box, in_month, on_month_day
 from emberlattice.operators.joins import left_join_zero
 
@@ -30,6 +29,3 @@ def high_days_with_zero(
         F.count(F.lit(1)).alias("high_fwi_days")
     )
     return left_join_zero(points, high, keys)
-
-
-__all__ = ["event_day", "exceedance_days", "high_days_with_zero"]

@@ -22,7 +22,7 @@ DEFAULT_DISTANCE = 0.1
 # -------------------------------------------------------------------------------------------------
 
 
-def _names(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def _names(df: DataFrame) -> DataFrame:
     """Tick keys back to target coordinates."""
     return df.withColumns({"target_lat": degrees("ly"), "target_lon": degrees("lx")}).drop("ly", "lx")
 
@@ -34,7 +34,7 @@ def _neighbourhoods(targets, source, payload, radius, by, summarise) -> DataFram
     """
     inside = summarise(radius_pairs(targets, source, payload, radius, by, "right"))
     alone = summarise(nearest_if_lonely(targets, source, payload, radius, by, "right"))
-    return _names(inside.unionByName(alone).drop("cy", "cx"), by)
+    return _names(inside.unionByName(alone).drop("cy", "cx"))
 
 
 def coarse_features(

@@ -146,8 +146,6 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), chunk: int = 100_000
     # A value with many copies is cut in chunks that can be spread before they are expanded.
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long")))
     chunks = ranked.withColumn("start", starts)
-    # Only repartition on real need would be cheaper, but the chunk table is at most rows/chunk
-    # longer than the distinct values, so the exchange stays small.
     spread = chunks.repartition(F.col("value"), F.col("start"))
     step = F.explode(
         F.sequence(F.col("start") + 1, F.least(F.col("start") + F.lit(chunk), F.col("n")))

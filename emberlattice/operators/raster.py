@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.functions import ceil_div, round_coord
+from emberlattice.functions import round_coord
 from emberlattice.operators.clean import dedupe_keys, union_all
 from emberlattice.schema import LANDCOVER_CLASSES
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlattice.operators.clean import nan_to_null, parse_date, sample_n, union_all  # noqa: F401
+from emberlattice.operators.clean import nan_to_null, sample_n
 from emberlattice.schema import KEYS
 
 
