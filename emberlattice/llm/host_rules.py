@@ -113,11 +113,11 @@ def op2_host_rules(docs: DataFrame) -> DataFrame:
     return host_rules(docs)
 
 
-_WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{GAP_CLASS}+'), w -> w <> '')"
+_WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{GAP_CLASS}+'), lambda w: w <> '')"
 OP2_SQL = f"""
 WITH base AS (
   SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
 windows AS (SELECT row_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS win FROM (
   SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT *, row_number() OVER () AS row_id FROM base))),
 twice AS (SELECT row_id, i FROM (SELECT *, count(*) OVER (PARTITION BY row_id, win) AS c FROM windows) WHERE c > 1),
