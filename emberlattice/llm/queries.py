@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlattice.llm import host_rules, secret_scan, url_filter
+from emberlattice.llm import chat_format, decontaminate, host_rules, mixing, ngram_join, pii, quality_model, secret_scan, url_filter
 from emberlattice.llm.common import table
 
 
-def over(operator: Callable[[DataFrame], DataFrame], name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+def over(operator: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*[table(spark, sf_dir, name) for name in names])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": over(chat_format.op1_chat_windows, "conversations"),
     "op2_host_rules": over(host_rules.op2_host_rules, "documents"),
+    "op3_personal_data": over(pii.op3_personal_data, "documents"),
+    "op4_source_mix": over(mixing.op4_source_mix, "documents"),
     "op6_secret_scans": over(secret_scan.op6_secret_scans, "documents"),
     "op7_url_filters": over(url_filter.op7_url_filters, "pages"),
+    "op8_benchmark_leaks": over(decontaminate.op8_benchmark_leaks, "documents", "benchmark"),
+    "op9_ngram_join": over(ngram_join.op9_ngram_join, "documents"),
+    "op10_quality_classifier": over(quality_model.op10_quality_classifier, "documents", "labels"),
 }
-SQL: dict[str, str] = {"op2_host_rules": host_rules.OP2_SQL}
+SQL: dict[str, str] = {"op2_host_rules": host_rules.OP2_SQL, "op4_source_mix": mixing.OP4_SQL}
