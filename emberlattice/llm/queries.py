@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlattice.llm import chat_format, decontaminate, host_rules, mixing, ngram_join, pii, quality_model, secret_scan, url_filter
+from emberlattice.llm import chat_format, decontaminate, host_rules, mixing, ngram_join, pii, quality_model, secret_scan, suffix_dedup, url_filter
 from emberlattice.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": over(host_rules.op2_host_rules, "documents"),
     "op3_personal_data": over(pii.op3_personal_data, "documents"),
     "op4_source_mix": over(mixing.op4_source_mix, "documents"),
+    "op5_suffix_dedup": over(suffix_dedup.op5_suffix_dedup, "documents"),
     "op6_secret_scans": over(secret_scan.op6_secret_scans, "documents"),
     "op7_url_filters": over(url_filter.op7_url_filters, "pages"),
     "op8_benchmark_leaks": over(decontaminate.op8_benchmark_leaks, "documents", "benchmark"),
