@@ -1,13 +1,56 @@
-"""Corpus pipeline: secret scans for now."""
+"""Corpus pipeline: from raw documents to a training mix, five operators one after another.
 
+Each stage takes (spark, docs, sf_dir) and works on every document its predecessor kept. All but the
+last return the columns of the documents they got.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from emberlattice.llm.common import store, table
+from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.mixing import mix_documents
+from emberlattice.llm.ngram_join import keep_one_of_each
+from emberlattice.llm.quality_model import keep_quality, train_quality
 from emberlattice.llm.secret_scan import redact_secrets
 
-STAGES = [("secrets", lambda spark, docs, sf_dir: redact_secrets(docs))]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays (five words, similarity 0.8)."""
+    return keep_one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets inside texts are replaced by a mark; every document stays."""
+    return redact_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn for the mix, with their topic, tokens, rate and number of copies."""
+    return mix_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("secrets", secrets),
+          ("mix", mix)]
+
+# A trained classifier and connected components have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each one's result is stored before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
