@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from emberlattice.llm.common import GAPS, UPPER, fraction_of, let, text_of, words_of
 
 FEATURES = ("log_words", "word_length", "symbols", "pipes", "capitals", "digits", "exclamations", "stops", "distinct_words",
-            "distinct_lines", "line_words", "other")
+            "distinct_lines", "line_words", "other", "vocabulary", "log_distinct")
 
 
 def features_of(text: Column) -> Column:
     """Shape features of a whole text, an array in the order of ``FEATURES``; zeros for a blank one.
 
-    Only the text enters: counts of characters, words and lines, as shares between 0 and 1 or logs.
+    Only the text enters: counts of characters, words and lines, as shares between 0 and 1 (roots of the
+    rare ones) or logs.
     """
     def without(chars):
         return F.length(text) - F.length(F.translate(text, chars, ""))
@@ -27,18 +28,19 @@ def features_of(text: Column) -> Column:
         chars = F.greatest(F.length(F.translate(text, GAPS, "")), F.lit(1)).cast("double")
         lines = F.split(text, "\n", -1)
         letters = UPPER + UPPER.lower()
+        share = F.size(F.array_distinct(words)) / n
+        rare = [F.sqrt(without(c) / chars) for c in ("#*$%&<>", "|", UPPER, "0123456789", "!")]
         return F.when(n > 0, F.array(
-            F.log1p(n), F.log1p(chars / n), without("#*$%&<>") / chars, without("|") / chars, without(UPPER) / chars,
-            without("0123456789") / chars, without("!") / chars, without(".") / n, F.size(F.array_distinct(words)) / n,
-            F.size(F.array_distinct(lines)) / F.size(lines), F.log1p(n / F.size(lines)),
-            1 - without(letters) / chars)).otherwise(F.array(*[F.lit(0.0)] * len(FEATURES)))
+            F.log1p(n), F.log1p(chars / n), *rare, without(".") / n, share, F.size(F.array_distinct(lines)) / F.size(lines),
+            F.log1p(n / F.size(lines)), 1 - without(letters) / chars, share * F.log1p(n), F.log(share + 0.02))
+        ).otherwise(F.array(*[F.lit(0.0)] * len(FEATURES)))
 
     return let(words_of(text), measure)
 
 
 @dataclass(frozen=True)
 class PuModel:
-    """Standardised features and their squares under a logistic function."""
+    """Standardised features under a logistic function."""
 
     centre: tuple[float, ...]
     scale: tuple[float, ...]
@@ -53,15 +55,14 @@ class PuModel:
             z = F.lit(self.bias)
             for i in range(k):
                 u = F.least(F.greatest((x[i] - F.lit(self.centre[i])) / F.lit(self.scale[i]), F.lit(-6.0)), F.lit(6.0))
-                z = z + u * F.lit(self.weights[i]) + u * u * F.lit(self.weights[k + i])
+                z = z + u * F.lit(self.weights[i])
             return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
         return let(features, total)
 
 
-def expand(x: np.ndarray, centre, scale) -> np.ndarray:
-    u = np.clip((x - centre) / scale, -6.0, 6.0)
-    return np.hstack([u, u * u])
+def standardised(x: np.ndarray, centre, scale) -> np.ndarray:
+    return np.clip((x - centre) / scale, -6.0, 6.0)
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05,
@@ -73,9 +74,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     """
     if not len(positive) or not len(unlabelled):
         k = len(FEATURES)
-        return PuModel((0.0,) * k, (1.0,) * k, (0.0,) * (2 * k), float(np.log(prior / (1 - prior))), prior)
+        return PuModel((0.0,) * k, (1.0,) * k, (0.0,) * k, float(np.log(prior / (1 - prior))), prior)
     centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
-    xp, xu = expand(positive, centre, scale), expand(unlabelled, centre, scale)
+    xp, xu = standardised(positive, centre, scale), standardised(unlabelled, centre, scale)
     w, b = np.zeros(xp.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
