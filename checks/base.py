@@ -75,6 +75,11 @@ def cut(c: str, digits: int = 6):
     return F.rint(F.col(c) * scale + F.lit(CUT)) / scale + F.lit(0.0)
 
 
+# The digest of a daily row that samples and splits go by.
+DIGEST = ("md5(concat_ws('|', CAST(date AS VARCHAR), CAST(CAST(round_even(latitude*10000,0) AS BIGINT) AS VARCHAR),"
+          " CAST(CAST(round_even(longitude*10000,0) AS BIGINT) AS VARCHAR), '42'))")
+
+
 def build(body: str, tables: list[str] = (), steps: list[tuple[str, str]] = ()) -> str:
     """WITH <derived tables>, <steps> body."""
     order: list[str] = []

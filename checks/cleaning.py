@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.base import build, check
+from checks.base import DIGEST, build, check
 from emberlattice.functions import clean_name, kelvin_to_celsius
 from emberlattice.operators import clean as C
 from emberlattice.operators import joins as J
@@ -302,7 +302,8 @@ def _(spark, sf):
     return C.log10_if_wide(D.exposure(spark, sf).where("value > 0"), "value").select("point_id", "value_scaled")
 
 
-@check("P28_sample_n", None)
+@check("P28_sample_n", build(
+    f"SELECT * FROM fine_pred ORDER BY {DIGEST}, date, latitude, longitude, fwi_predicted LIMIT 500", ["fine_pred"]), ["fwi_predicted"])
 def _(spark, sf):
     return C.sample_n(D.fine_pred(spark, sf), 500, ["date", "latitude", "longitude"], 42)
 
@@ -381,10 +382,9 @@ def _(spark, sf):
 
 
 @check("J14_common_dates", build(
-    "SELECT DISTINCT date FROM grid_daily WHERE month(date)<=8 AND month(date)>=5", G))
+    "SELECT date FROM fwi_daily INTERSECT SELECT date FROM temp_daily", ["fwi_daily", "temp_daily"]))
 def _(spark, sf):
-    g = D.grid_daily(spark, sf)
-    return J.common_dates(g.where("month(date) <= 8"), g.where("month(date) >= 5"))
+    return J.common_dates(D.fwi_daily(spark, sf), D.temp_daily(spark, sf))
 
 
 @check("U01_union_by_name", build(
@@ -395,9 +395,9 @@ def _(spark, sf):
 
 
 @check("U02_intersect_dates", build(
-    "SELECT date FROM fine_pred WHERE day(date)<=20 INTERSECT SELECT date FROM grid_daily WHERE day(date)>=10", ["fine_pred", "grid_daily"]))
+    "SELECT date FROM fine_pred INTERSECT SELECT date FROM grid_daily", ["fine_pred", "grid_daily"]))
 def _(spark, sf):
-    return J.common_dates(D.fine_pred(spark, sf).where("day(date) <= 20"), D.grid_daily(spark, sf).where("day(date) >= 10"))
+    return J.common_dates(D.fine_pred(spark, sf), D.grid_daily(spark, sf))
 
 
 @check("U05_distinct_coordinates", build("SELECT DISTINCT latitude, longitude FROM fine_pred", ["fine_pred"]))

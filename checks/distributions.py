@@ -86,13 +86,13 @@ def _(spark, sf):
     return X.box_stats(sides(spark, sf), "x", ["source"])
 
 
-_QP = ("SELECT CAST(k AS INTEGER) AS k, k/200.0::DOUBLE AS q, max(v) FILTER (source='coarse') AS coarse, max(v) FILTER (source='fine') AS fine FROM ("
-       "SELECT source, unnest(range(0,201)) AS k, unnest(quantile_cont(x, [" + ",".join(f"{k / 200}" for k in range(201)) + "])) AS v FROM st GROUP BY source) GROUP BY 1,2")
+_QP = ("SELECT CAST(k AS INTEGER) AS k, k/999.0::DOUBLE AS q, max(v) FILTER (source='coarse') AS coarse, max(v) FILTER (source='fine') AS fine FROM ("
+       "SELECT source, unnest(range(0,1000)) AS k, unnest(quantile_cont(x, [" + ",".join(f"{k / 999}" for k in range(1000)) + "])) AS v FROM st GROUP BY source) GROUP BY 1,2")
 
 
 @check("A25_quantile_pairs", build(f"SELECT CAST(k AS BIGINT) AS k, q, coarse, fine FROM ({_QP})", B, [SIDES]), ["q", "coarse", "fine"])
 def _(spark, sf):
-    return X.quantile_pairs(sides(spark, sf), 201)
+    return X.quantile_pairs(sides(spark, sf))
 
 
 @check("A25_quantile_correlation_tail", build(
@@ -100,7 +100,7 @@ def _(spark, sf):
 def _(spark, sf):
     st = sides(spark, sf)
     cut = O.quantiles(st.where("source = 'fine'"), "x", [0.95], ["t"]).scalar()
-    return X.quantile_correlation(X.quantile_pairs(st.where(F.col("x") >= cut), 201))
+    return X.quantile_correlation(X.quantile_pairs(st.where(F.col("x") >= cut)))
 
 
 def _poly(cs, x):

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import build, check
+from checks.base import DIGEST, build, check
 from checks.spatial import _SPEC, _xy, nodes_sql
 from emberlattice.operators import features as E
 from emberlattice.operators import learn as N
 from emberlattice.operators.aggregate import downsample
 from emberlattice.operators.metrics import best_row
+from emberlattice.operators.order_stats import quantiles
 from emberlattice.operators.spatial import nearest_join
 from emberlattice.plans import closure, downscale
 from emberlattice.session import materialise
@@ -126,10 +127,11 @@ def _(spark, sf):
     "SELECT date, latitude, longitude, v AS coarse_fwi, sqrt(d2)/10000 AS coarse_distance, ry/10000.0::DOUBLE AS coarse_lat, rx/10000.0::DOUBLE AS coarse_lon, latitude AS target_lat, longitude AS target_lon FROM ("
     "SELECT *, row_number() OVER (PARTITION BY date, latitude, longitude ORDER BY d2, ry, rx) AS k FROM (SELECT l.date, l.latitude, l.longitude, r.y AS ry, r.x AS rx, r.v, (l.y-r.y)*(l.y-r.y)+(l.x-r.x)*(l.x-r.x) AS d2 FROM l JOIN r ON l.date=r.date)) WHERE k=1"
     " UNION ALL SELECT date, latitude, longitude, 10.0, 0.1, latitude, longitude, latitude, longitude FROM l WHERE date NOT IN (SELECT date FROM r)", G,
-    [("l", _xy("grid_daily", "date, latitude, longitude")), ("r", _xy("grid_daily", "date, fwi AS v", "WHERE fwi>=44 AND month(date)<>3"))]), ["coarse_fwi", "coarse_distance"])
+    [("l", _xy("grid_daily", "date, latitude, longitude")), ("r", _xy("grid_daily", "date, fwi AS v", "WHERE fwi >= (SELECT quantile_cont(fwi, 0.995) FROM grid_daily)"))]), ["coarse_fwi", "coarse_distance"])
 def _(spark, sf):
     g = D.grid_daily(spark, sf)
-    return E.default_features(g.select(*KEYS), g.where("fwi >= 44 AND month(date) <> 3"), ["fwi"])
+    rare = g.where(F.col("fwi") >= quantiles(g, "fwi", [0.995], ["q"]).scalar())
+    return E.default_features(g.select(*KEYS), rare, ["fwi"])
 
 
 @check("M05_fill_missing_features", build(
@@ -179,7 +181,8 @@ def _(spark, sf):
     return N.robust_scale(D.grid_daily(spark, sf).select(*KEYS, "fwi", "temperature_max"), ["fwi", "temperature_max"])
 
 
-@check("M08_split_rows", None)
+@check("M08_split_rows", build(
+    f"SELECT date, latitude, longitude, fwi, CASE WHEN CAST('0x' || substr({DIGEST}, 1, 8) AS BIGINT) % 10000 < 2000 THEN 'test' ELSE 'train' END AS part FROM grid_daily", G))
 def _(spark, sf):
     train, test = N.split_rows(D.grid_daily(spark, sf).select(*KEYS, "fwi"), KEYS)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -258,10 +261,12 @@ def _(spark, sf):
 
 @check("M17_quality_score", build(
     "SELECT l.date, l.y/10000.0::DOUBLE AS latitude, l.x/10000.0::DOUBLE AS longitude, greatest(0.3, 1-sqrt(min((l.y-r.y)*(l.y-r.y)+(l.x-r.x)*(l.x-r.x)))/10000/0.5) AS quality_score FROM l JOIN r ON l.date=r.date GROUP BY l.date, l.y, l.x", B,
-    [("l", _xy("fine_pred", "DISTINCT date")), ("r", _xy("grid_daily", "date", "WHERE fwi>=30"))]), ["quality_score"])
+    [("l", _xy("fine_pred", "DISTINCT date")), ("r", _xy("grid_daily", "date", "WHERE fwi > 0.000001 + (SELECT avg(o.fwi) FROM grid_daily o WHERE o.date = grid_daily.date)"))]), ["quality_score"])
 def _(spark, sf):
     f = D.fine_pred(spark, sf).select(*KEYS).distinct()
-    near = nearest_join(f, D.grid_daily(spark, sf).where("fwi >= 30"), ["fwi"], expand="right")
+    g = D.grid_daily(spark, sf)
+    mean = g.groupBy("date").agg(F.avg("fwi").alias("mean"))
+    near = nearest_join(f, g.join(mean, "date").where("fwi > mean + 0.000001").drop("mean"), ["fwi"], expand="right")
     return near.select(*KEYS, N.quality_score("distance").alias("quality_score"))
 
 
@@ -277,11 +282,24 @@ _PREDICT_STEPS = [*node_steps(["fwi"]), _GL, ("pr", pairs_sql("gl", "nd", ["fwi"
     "SELECT pd.*, s/sqrt(n) AS prediction_uncertainty FROM pd JOIN (SELECT date, stddev_pop(fwi_predicted) AS s FROM pd GROUP BY 1) USING (date) JOIN (SELECT date, count(*) AS n FROM grid_daily GROUP BY 1) USING (date)", G, _PREDICT_STEPS),
     ["fwi_predicted", "quality_score", "prediction_uncertainty"])
 def _(spark, sf):
-    """Ridge on the coarse mean, applied to a 0.09 x 0.12 degree lattice of every day."""
+    """Ridge on the coarse mean, applied to a 0.09 x 0.12 degree lattice of every day, node by node."""
+    return _predicted(spark, sf, 0.09, 0.12)
+
+
+def _predicted(spark, sf, dlat, dlon):
     g = D.grid_daily(spark, sf)
     pairs = materialise(E.training_pairs(g, ["fwi"], 0.5, include_target=True))
     model = N.fit_ridge(N.assemble(pairs.select("coarse_fwi", "fine_fwi"), ["coarse_fwi"], "fine_fwi"))
-    return N.predict_fine(g, model, ["coarse_fwi"], ["fwi"], 0.09, 0.12)
+    return N.predict_fine(g, model, ["coarse_fwi"], ["fwi"], dlat, dlon)
+
+
+@check("M15_predict_fine_1km", None)
+def _(spark, sf):
+    """The same at the 0.009 x 0.012 degree lattice, summed up by day; a brute-force SQL is too slow there."""
+    p = F.col("fwi_predicted")
+    return _predicted(spark, sf, 0.009, 0.012).groupBy("date").agg(
+        F.count(F.lit(1)).alias("n"), F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean"),
+        F.max("prediction_uncertainty").alias("prediction_uncertainty"))
 
 
 @check("M15_downscale_full_features", None)
@@ -290,18 +308,30 @@ def _(spark, sf):
     return downscale.downscale(D.grid_daily(spark, sf), ["fwi", "temperature_max", "dewpoint"], "ridge", dlat=0.18, dlon=0.24)
 
 
-@check("M09_fit_gbt", None)
+def _contract(model, rows):
+    """Rows scored, whether all predictions lie near the labels' range, and whether the fit explains them."""
+    scored = model.transform(rows)
+    span = F.max("label") - F.min("label")
+    inside = (F.min("prediction") >= F.min("label") - 0.1 * span) & (F.max("prediction") <= F.max("label") + 0.1 * span)
+    fit = 1 - F.sum(F.pow(F.col("label") - F.col("prediction"), F.lit(2))) / (F.var_pop("label") * F.count("label"))
+    total = sum(model.featureImportances.toArray())
+    return scored.agg(F.count(F.lit(1)).alias("n"), inside.alias("inside"), (fit > 0.1).alias("fits"),
+                      F.lit(abs(total - 1) < 1e-6).alias("importances_sum_to_one"))
+
+
+_CONTRACT = "SELECT count(*) AS n, TRUE AS inside, TRUE AS fits, TRUE AS importances_sum_to_one FROM grid_daily"
+
+
+@check("M09_fit_gbt", build(_CONTRACT, G))
 def _(spark, sf):
     rows = materialise(table(spark, sf, ["temperature_max", "dewpoint", "latitude", "longitude"]))
-    model = N.fit_gbt(rows.select("features", "label"), trees=10)
-    return model.transform(rows).select(*KEYS, "prediction")
+    return _contract(N.fit_gbt(rows.select("features", "label")), rows)
 
 
-@check("M10_fit_forest", None)
+@check("M10_fit_forest", build(_CONTRACT, G))
 def _(spark, sf):
     rows = materialise(table(spark, sf, ["temperature_max", "dewpoint", "latitude", "longitude"]))
-    model = N.fit_forest(rows.select("features", "label"), trees=10, depth=8)
-    return model.transform(rows).select(*KEYS, "prediction")
+    return _contract(N.fit_forest(rows.select("features", "label")), rows)
 
 
 @check("M19_permutation_importance", None)

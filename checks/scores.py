@@ -173,7 +173,12 @@ def _category_sql(src: str, by: str, value: str) -> str:
     for c, words in FEATURE_CATEGORIES.items():
         test = " OR ".join(f"contains(lower(feature), '{w}')" for w in words)
         parts.append(f"SELECT {by}'{c}' AS category, sum({value}) AS total, avg({value}) AS mean, count({value}) AS n_features FROM {src} WHERE {test} GROUP BY ALL HAVING count(*)>0")
-    return " UNION ALL ".join(parts)
+    names = ", ".join(f"('{c}')" for c in FEATURE_CATEGORIES)
+    on = " AND ".join(["b.category IS NOT DISTINCT FROM h.category", *(f"b.{k} IS NOT DISTINCT FROM h.{k}" for k in by.replace(",", " ").split())])
+    groups = f"(SELECT DISTINCT {by}1 AS one FROM {src})"
+    keys = "".join(f"b.{k}, " for k in by.replace(",", " ").split())
+    return (f"SELECT {keys}b.category, coalesce(total, 0) AS total, coalesce(mean, 0) AS mean, coalesce(n_features, 0) AS n_features FROM"
+            f" (SELECT * FROM {groups}, (VALUES {names}) c(category)) b LEFT JOIN ({' UNION ALL '.join(parts)}) h ON {on}")
 
 
 @check("A40_importance_by_category", build(_category_sql("features_importance", "model, ", "score"), FI), ["total", "mean"])
@@ -181,6 +186,13 @@ def _(spark, sf):
     return I.importance_by_category(D.features_importance(spark, sf))
 
 
+@check("A40_empty_category", build(_category_sql("rest", "model, ", "score"), FI, [
+    ("rest", "SELECT * FROM features_importance WHERE NOT contains(lower(feature), 'temperature')")]), ["total", "mean"])
+def _(spark, sf):
+    """Without temperature features their category stays, with zeros."""
+    return I.importance_by_category(D.features_importance(spark, sf).where("NOT contains(lower(feature), 'temperature')"))
+
+
 @check("A40_consensus_by_category", build(_category_sql("c", "", "m"), FI, [("c", "SELECT feature, avg(score) AS m FROM features_importance GROUP BY 1")]), ["total", "mean"])
 def _(spark, sf):
     c = I.importance_consensus(D.features_importance(spark, sf)).select("feature", F.col("mean").alias("m"))

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.base import build, check
+from checks.base import DIGEST, build, check
 from emberlattice.plans import closure
 from emberlattice.schema import FWI_DAILY
 from emberlattice.session import shared_folder
@@ -58,11 +58,12 @@ def _(spark, sf):
     return spark.read.parquet(out).select("date", "latitude", "longitude", "fwi")
 
 
-@check("S10_write_sample", "SELECT CAST(1000 AS BIGINT) AS n")
+@check("S10_write_sample", build(
+    f"SELECT * FROM fine_pred ORDER BY {DIGEST}, date, latitude, longitude, fwi_predicted LIMIT 1000", ["fine_pred"]), ["fwi_predicted"])
 def _(spark, sf):
     path = folder(spark, "sample")
     tables.write_sample(D.fine_pred(spark, sf), path, 1000)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path)
 
 
 @check("S09_write_summary_json", build(

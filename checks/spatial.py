@@ -50,6 +50,16 @@ def _(spark, sf):
 
 
 @check("L03_global_lattice", build(
+    "SELECT i, j, (lat0+i*90)/10000.0::DOUBLE AS latitude, (lon0+j*90)/10000.0::DOUBLE AS longitude FROM ("
+    "SELECT lat0, lon0, i, unnest(range(0, CAST(ceil((lon1-lon0)/90.0) AS BIGINT)+1)) AS j FROM ("
+    "SELECT *, unnest(range(0, CAST(ceil((lat1-lat0)/90.0) AS BIGINT)+1)) AS i FROM ("
+    "SELECT min(lat0) AS lat0, max(lat1) AS lat1, min(lon0) AS lon0, max(lon1) AS lon1 FROM spec)))", G, [("spec", _SPEC)]),
+    ["latitude", "longitude"])
+def _(spark, sf):
+    return L.global_lattice(D.grid_daily(spark, sf))
+
+
+@check("L03_global_lattice_dates", build(
     "SELECT date, i, j, (lat0+i*1000)/10000.0::DOUBLE AS latitude, (lon0+j*1000)/10000.0::DOUBLE AS longitude FROM (SELECT DISTINCT date FROM grid_daily) d, ("
     "SELECT lat0, lon0, i, unnest(range(0, CAST(ceil((lon1-lon0)/1000.0) AS BIGINT)+1)) AS j FROM ("
     "SELECT *, unnest(range(0, CAST(ceil((lat1-lat0)/1000.0) AS BIGINT)+1)) AS i FROM ("
@@ -125,10 +135,11 @@ def _(spark, sf):
 
 
 @check("J06_nearest_unbounded", build(nearest_sql("l.date=r.date", "", _GK, "hot", "date,latitude,longitude"), G,
-    [_L, ("r", _xy("grid_daily", "date, fwi AS hot", "WHERE fwi>=46"))]), ["distance", "near_latitude", "near_longitude"])
+    [_L, ("r", _xy("grid_daily", "date, fwi AS hot", "WHERE fwi = (SELECT max(o.fwi) FROM grid_daily o WHERE o.date = grid_daily.date)"))]), ["distance", "near_latitude", "near_longitude"])
 def _(spark, sf):
     g = D.grid_daily(spark, sf).select(*KEYS, "fwi")
-    hot = g.where("fwi >= 46").withColumnRenamed("fwi", "hot")
+    hottest = g.groupBy("date").agg(F.max("fwi").alias("top"))
+    hot = g.join(hottest, "date").where("fwi = top").drop("top").withColumnRenamed("fwi", "hot")
     return S.nearest_join(g, hot, ["hot"], expand="right")
 
 
@@ -194,10 +205,12 @@ def _(spark, sf):
     "SELECT *, d2>3000*3000 AS fallback FROM (SELECT *, min(d2) OVER (PARTITION BY date, ly, lx) AS m, row_number() OVER (PARTITION BY date, ly, lx ORDER BY d2, ry, rx) AS k FROM ("
     "SELECT l.date, l.y AS ly, l.x AS lx, r.y AS ry, r.x AS rx, r.fwi, (l.y-r.y)*(l.y-r.y)+(l.x-r.x)*(l.x-r.x) AS d2 FROM l JOIN r ON l.date=r.date))"
     " WHERE d2<=3000*3000 OR (m>3000*3000 AND k=1)) GROUP BY 1,2,3", G,
-    [("l", _xy("grid_daily", "date")), ("r", _xy("grid_daily", "date, fwi", "WHERE fwi>=35"))]), ["s"])
+    [("l", _xy("grid_daily", "date")), ("r", _xy("grid_daily", "date, fwi", "WHERE fwi > 0.000001 + (SELECT avg(o.fwi) FROM grid_daily o WHERE o.date = grid_daily.date)"))]), ["s"])
 def _(spark, sf):
     g = D.grid_daily(spark, sf)
-    pairs = S.radius_join(g, g.where("fwi >= 35").select(*KEYS, "fwi"), ["fwi"], 0.3)
+    mean = g.groupBy("date").agg(F.avg("fwi").alias("mean"))
+    sites = g.join(mean, "date").where("fwi > mean + 0.000001").select(*KEYS, "fwi")
+    pairs = S.radius_join(g, sites, ["fwi"], 0.3)
     return pairs.groupBy("date", degrees("ly").alias("latitude"), degrees("lx").alias("longitude")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("fwi").alias("s"), F.bool_or("fallback").alias("fallback"))
 

@@ -10,7 +10,7 @@ from emberlattice.schema import KELVIN_OFFSET, KM_PER_DEGREE_LON, NAME_REPLACEME
 __all__ = [
     "TICKS", "as_col", "ticks", "degrees", "round_to", "round_coord", "wrap", "kelvin_to_celsius",
     "clip", "finite", "not_nan", "planar_distance", "distance2", "pearson",
-    "km_per_degree_lon", "clean_name", "month_day", "floor_div", "ceil_div",
+    "km_per_degree_lon", "clean_name", "row_digest", "month_day", "floor_div", "ceil_div",
 ]
 
 TICKS = 10_000  # ticks per degree: coordinates are compared as integers, never as doubles
@@ -27,6 +27,12 @@ def ticks(c, per_degree: int = TICKS) -> Column:
     return F.rint(as_col(c) * F.lit(float(per_degree))).cast("long")
 
 
+def row_digest(keys, seed: int) -> Column:
+    """MD5 of a row's keys as text, coordinates in ticks: one order for every engine and partitioning."""
+    parts = [ticks(k) if k.endswith(("latitude", "longitude", "_lat", "_lon")) else F.col(k) for k in keys]
+    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(str(seed))))
+
+
 def degrees(c, per_degree: int = TICKS) -> Column:
     if isinstance(c, str):
         return F.expr(f"CAST({c} AS DOUBLE) / {per_degree}D")

@@ -16,7 +16,7 @@ from emberlattice.functions import TICKS, band, band_labels, degrees, planar_dis
 from emberlattice.functions.bands import OUT_OF_RANGE
 from emberlattice.operators.clean import in_box, in_month
 from emberlattice.operators.lattice import edge_bins, window_overlap
-from emberlattice.operators.order_stats import quantiles, ranked_counts, quantile_columns
+from emberlattice.operators.order_stats import quantiles
 from emberlattice.operators.spatial import nearest_if_lonely, points_in_boxes, radius_pairs
 from emberlattice.session import materialise
 
@@ -208,19 +208,17 @@ def radius_stats(
         mean.alias("fwi_aggregated_mean"),
         F.when(total > 1, F.sum(weight * v) / F.sum(weight)).otherwise(mean)
         .alias("fwi_aggregated_weighted"),
-        F.sum(n * v * v).alias("_ss"),
         F.min(v).alias("fwi_min"),
         F.max(v).alias("fwi_max"),
         total.alias("count_1km_points"),
     )
-    m = F.col("fwi_aggregated_mean")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_ss") / F.col("count_1km_points") - m * m))
-    stats = stats.withColumn(
-        "fwi_std", F.when(F.col("fwi_min") == F.col("fwi_max"), F.lit(0.0)).otherwise(spread)
-    ).drop("_ss")
-    ranked = ranked_counts(pairs, "value", keys, weight=n)
-    median = ranked.groupBy(*keys).agg(*quantile_columns([0.5], ["fwi_aggregated_median"]))
-    inside = stats.join(median, keys)
+    # Squares of deviations from the stored mean: nothing cancels, whatever the values' offset.
+    gap = v - F.col("_m")
+    centred = pairs.join(stats.select(*keys, F.col("fwi_aggregated_mean").alias("_m")), keys)
+    spread = centred.groupBy(*keys).agg(
+        F.sqrt(F.sum(n * gap * gap) / total).alias("fwi_std"),
+        F.percentile(v, F.lit(0.5), n).alias("fwi_aggregated_median"))
+    inside = stats.join(spread, keys)
     alone = nearest_if_lonely(targets, sites, ["value"], radius, by, found=pairs).select(
         *keys,
         *[v.alias(c) for c in ("fwi_aggregated_mean", "fwi_aggregated_median",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlattice.functions import clip, finite, not_nan, round_coord, wrap
+from emberlattice.functions import clip, finite, not_nan, round_coord, row_digest, wrap
 from emberlattice.operators.order_stats import column_lookup, column_quantiles, unpivot_columns
 from emberlattice.schema import KEYS
 
@@ -104,8 +104,10 @@ def tag_regions(
     return df.withColumn("region", F.explode(F.array_compact(names)))
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+def nan_to_null(df: DataFrame, leave: Sequence[str] = ()) -> DataFrame:
+    """NaN as null in every floating column but those left as they are."""
+    floats = [f.name for f in df.schema.fields
+              if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in leave]
     return df.withColumns({c: not_nan(f"`{c}`") for c in floats}) if floats else df
 
 
@@ -269,7 +271,7 @@ def log10_if_wide(df: DataFrame, col: str, ratio: float = 1000.0) -> DataFrame:
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash of the keys: same rows for any partitioning."""
     rest = [c for c in df.columns if c not in keys]
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys, *rest).limit(n)
+    return df.orderBy(row_digest(keys, seed), *keys, *rest).limit(n)
 
 
 def residuals(df: DataFrame, predicted: str, truth: str, out: str = "residual") -> DataFrame:

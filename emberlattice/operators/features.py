@@ -72,14 +72,14 @@ def coarse_features(
 
 def training_pairs(
     daily: DataFrame, measures: Sequence[str], step: float = 0.5, target: str = "fwi",
-    include_target: bool = False, pick: str = "nearest", minimum: int = 4,
+    include_target: bool = False, pick: str = "nearest", minimum: int | None = None,
 ) -> DataFrame:
     """Fine rows joined with features of their own downsampled day.
 
-    Days with fewer than ``minimum`` points are left out. The target leaks into its own coarse mean;
+    Days with fewer than ``minimum`` points are left out if asked. The target leaks into its own coarse mean;
     ``include_target=True`` keeps that feature, the default leaves it out.
     """
-    used = min_group_size(daily, ["date"], minimum)
+    used = daily if minimum is None else min_group_size(daily, ["date"], minimum)
     inputs = [m for m in measures if include_target or m != target]
     nodes = downsample(used, inputs, step)
     features = coarse_features(used, nodes, inputs, 1.5 * step, pick)

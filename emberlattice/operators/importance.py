@@ -48,9 +48,16 @@ def importance_by_category(
     scores: DataFrame, by: Sequence[str] = ("model",), value: str = "score",
     categories: Mapping[str, Sequence[str]] = FEATURE_CATEGORIES,
 ) -> DataFrame:
-    """Total, mean and count of the scores per category; a feature may count in several."""
-    return _categories(scores, categories).groupBy(*by, "category").agg(
-        F.sum(value).alias("total"), F.avg(value).alias("mean"), F.count(value).alias("n_features")
+    """Total, mean and count of the scores per category; a feature may count in several.
+
+    Every category is listed for each group; without a feature in it total, mean and count are 0.
+    """
+    names = F.explode(F.array(*[F.lit(c) for c in categories]))
+    blank = scores.select(*by).distinct().select(*by, names.alias("category"), F.lit(None).cast("double").alias(value))
+    found = _categories(scores, categories).select(*by, "category", F.col(value).cast("double").alias(value))
+    return found.unionByName(blank).groupBy(*by, "category").agg(
+        F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
+        F.count(value).alias("n_features")
     )
 
 
@@ -87,16 +94,15 @@ def feature_summary_counts(features: DataFrame) -> DataFrame:
     )
 
 
-def importance_matrix(scores: DataFrame, models: Sequence[str], k: int = 25) -> DataFrame:
-    """Feature x model matrix, absent 0, each model scaled by its maximum; the k best rows by mean."""
+def importance_matrix(scores: DataFrame, models: Sequence[str], k: int | None = None) -> DataFrame:
+    """Feature x model matrix, absent 0, each model scaled by its maximum; the k best rows by mean if asked."""
     wide = normalise_by_model(scores).groupBy("feature").pivot("model", list(models)).agg(
         F.max("normalised")
     ).fillna(0.0)
     total = sum((F.col(m) for m in models), F.lit(0.0))
     ranked = wide.withColumn("row_mean", total / len(models))
-    return ranked.orderBy(F.desc("row_mean"), "feature").limit(k).withColumn(
-        "label", clean_name("feature")
-    )
+    best = ranked if k is None else ranked.orderBy(F.desc("row_mean"), "feature").limit(k)
+    return best.withColumn("label", clean_name("feature"))
 
 
 def importance_distribution(scores: DataFrame) -> DataFrame:

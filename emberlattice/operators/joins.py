@@ -26,6 +26,10 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns(swap) if swap else df
 
 
+def _unkeyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumns({k: degrees(k, 1000) for k in keys if k in ("latitude", "longitude")})
+
+
 def merge_daily(
     base: DataFrame, other: DataFrame, name: str, keys: Sequence[str] = KEYS, how: str = "inner"
 ) -> DataFrame:
@@ -33,10 +37,7 @@ def merge_daily(
     on = _common_keys(base, other, keys)
     clash = [c for c in other.columns if c in base.columns and c not in on]
     renamed = other.withColumnsRenamed({c: f"{c}_{name}" for c in clash})
-    joined = _keyed(base, on).join(_keyed(renamed, on), on, how)
-    return joined.withColumns(
-        {k: degrees(k, 1000) for k in on if k in ("latitude", "longitude")}
-    )
+    return _unkeyed(_keyed(base, on).join(_keyed(renamed, on), on, how), on)
 
 
 def retention_share(base: DataFrame, other: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -81,21 +82,25 @@ def retention_gated_merge(
 
 
 def merge_variables(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Chain of full outer joins on the keys, one variable column per frame."""
+    """Chain of full outer joins on the keys, one variable column per frame.
+
+    Coordinates meet as integer milli-degrees, so float noise does not part equal points.
+    """
     on = list(keys)
-    return reduce(lambda a, b: a.join(b, on, "full_outer"), frames)
+    joined = reduce(lambda a, b: a.join(b, on, "full_outer"), [_keyed(f, on) for f in frames])
+    return _unkeyed(joined, on)
 
 
 def overlay_last_wins(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per key; each variable takes its value from the last frame that has one."""
-    tagged = [f.withColumn("_file", F.lit(k)) for k, f in enumerate(frames)]
+    """One row per key, coordinates in milli-degrees; each variable is the last frame's that has one."""
+    tagged = [_keyed(f, keys).withColumn("_file", F.lit(k)) for k, f in enumerate(frames)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     variables = [c for c in stacked.columns if c not in (*keys, "_file")]
     # max of (file, value) over rows that have a value; equal files keep the largest value.
     last = [
         F.max(F.when(F.col(v).isNotNull(), F.struct("_file", v)))[v].alias(v) for v in variables
     ]
-    return stacked.groupBy(*keys).agg(*last)
+    return _unkeyed(stacked.groupBy(*keys).agg(*last), keys)
 
 
 def left_join_zero(left: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -107,10 +107,10 @@ def fine_lattice(
     points: DataFrame,
     dlat: float = 0.009,
     dlon: float = 0.012,
-    cap: int | None = 500_000,
+    cap: int | None = None,
     by: Sequence[str] = ("date",),
 ) -> DataFrame:
-    """The ~1 km target lattice over each day's extent."""
+    """The ~1 km target lattice over each day's extent; ``cap`` only where a coarser one is asked for."""
     return expand_lattice(lattice_spec(points, dlat, dlon, by, cap), by)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberlattice.functions import clip, ticks
+from emberlattice.functions import clip, row_digest, ticks
 from emberlattice.operators.clean import min_group_size, sample_n
 from emberlattice.operators.features import fill_missing_features, idw_features
 from emberlattice.operators.lattice import expand_lattice, lattice_spec
@@ -18,7 +18,7 @@ from emberlattice.operators.metrics import global_metrics
 from emberlattice.operators.order_stats import (
     column_lookup, column_quantiles, ranked_counts,
 )
-from emberlattice.session import materialise
+from emberlattice.session import written
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 
@@ -40,7 +40,7 @@ def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = N
 
 def split_flag(keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> Column:
     """True for test rows: a hash of the row key, so the split does not depend on partitioning."""
-    slot = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000))
+    slot = F.conv(F.substring(row_digest(keys, seed), 1, 8), 16, 10).cast("long") % 10_000
     return slot < round(test_share * 10_000)
 
 
@@ -151,28 +151,38 @@ def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def hash_places(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Add _place (0.. in the order of a hash of the row) and _total; ties are told apart by the row."""
+    cols = df.columns
+    keyed = df.withColumn("_h", F.xxhash64(*cols, F.lit(seed)))
+    tie = F.row_number().over(W.partitionBy("_h").orderBy(*cols)) - 1
+    places = ranked_counts(keyed, "_h").select(F.col("value").alias("_h"), "before", F.col("total").alias("_total"))
+    joined = keyed.withColumn("_tie", tie).join(places, "_h")
+    return joined.select(*cols, (F.col("before") + F.col("_tie")).alias("_place"), "_total")
+
+
 def permutation_importance(
-    model, df: DataFrame, names: Sequence[str], keys: Sequence[str], rows: int = 1000,
+    model, df: DataFrame, names: Sequence[str], keys: Sequence[str], rows: int | None = None,
     repeats: int = 5, seed: int = 42,
 ) -> DataFrame:
     """(feature, importance): mean drop of R2 when the feature is shuffled, over ``repeats``.
 
-    Works on a sample of ``rows`` rows. Every (feature, repeat) shuffles by pairing two hash orders
-    of the sample, all in one prediction pass.
+    All rows take part unless a sample of ``rows`` is asked for. The rows are put in one hash order;
+    every (feature, repeat) takes the feature's value from the row a hashed distance further on, all in
+    one prediction pass. No window or join holds more than one place of the order in a group.
     """
-    sample = materialise(sample_n(df.select(*keys, *names, LABEL), rows, keys, seed))
+    used = df.select(*keys, *names, LABEL)
+    sample = written(hash_places(used if rows is None else sample_n(used, rows, keys, seed), seed))
     base = evaluate(model, assemble(sample, names)).select(F.col("r_squared").alias("base"))
     trials = sample.withColumn("feature", F.explode(F.array(*[F.lit(n) for n in names]))).withColumn(
         "trial", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
     )
-    group = W.partitionBy("feature", "trial")  # at most `rows` rows per group
-
-    def order(salt):
-        return F.row_number().over(group.orderBy(F.xxhash64(*keys, "feature", "trial", F.lit(salt)), *keys))
-
+    trials = trials.withColumn("_shift", F.lit(1) + F.pmod(
+        F.xxhash64("feature", "trial", F.lit(seed)), F.greatest(F.col("_total") - 1, F.lit(1))))
     chosen = F.coalesce(*[F.when(F.col("feature") == n, F.col(n).cast("double")) for n in names])
-    left = trials.withColumn("_k", order(seed))
-    right = trials.select("feature", "trial", order(seed + 1).alias("_k"), chosen.alias("_v"))
+    left = trials.withColumn("_k", F.col("_place"))
+    right = trials.select(
+        "feature", "trial", F.pmod(F.col("_place") - F.col("_shift"), F.col("_total")).alias("_k"), chosen.alias("_v"))
     mixed = left.join(right, ["feature", "trial", "_k"]).withColumns(
         {n: F.when(F.col("feature") == n, F.col("_v")).otherwise(F.col(n)) for n in names}
     )
@@ -199,14 +209,15 @@ def quality_score(distance) -> Column:
 
 def predict_fine(
     source: DataFrame, model, names: Sequence[str], measures: Sequence[str],
-    dlat: float = 0.009, dlon: float = 0.012, cap: int | None = 500_000,
-    stats: DataFrame | None = None, minimum: int = 3, radius: float = 0.3,
+    dlat: float = 0.009, dlon: float = 0.012, cap: int | None = None,
+    stats: DataFrame | None = None, minimum: int | None = None, radius: float = 0.3,
 ) -> DataFrame:
     """Predict every node of each day's fine lattice, with uncertainty and quality score.
 
-    Days with fewer than ``minimum`` source points are left out. All days run in one job.
+    Days with fewer than ``minimum`` source points are left out if asked. All days run in one job. The
+    predictions are stored once; a day's deviation is a partial aggregate over them, joined back.
     """
-    days = min_group_size(source, ["date"], minimum)
+    days = source if minimum is None else min_group_size(source, ["date"], minimum)
     lattice = expand_lattice(lattice_spec(days, dlat, dlon, ["date"], cap), ["date"])
     features = idw_features(lattice, days, measures, radius)
     ready = fill_missing_features(features, names, days).withColumn(
@@ -217,13 +228,5 @@ def predict_fine(
         "date", F.col("target_lat").alias("latitude"), F.col("target_lon").alias("longitude"),
         clip(PREDICTION, 0, 100).alias("fwi_predicted"), "quality_score",
     )
-    if cap is None:
-        return predicted.join(prediction_uncertainty(predicted, days), "date")
-    # The cap bounds a day's rows, so a window per day avoids predicting twice.
-    n = days.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    spread = F.stddev_pop("fwi_predicted").over(W.partitionBy("date"))
-    return (
-        predicted.withColumn("_s", spread).join(n, "date")
-        .withColumn("prediction_uncertainty", F.col("_s") / F.sqrt("_n"))
-        .drop("_s", "_n")
-    )
+    predicted = written(predicted)
+    return predicted.join(prediction_uncertainty(predicted, days), "date")

@@ -123,17 +123,17 @@ def lattice_axis(low: float, high: float, resolution: float) -> int:
 
 def sample_lattice(
     pixels: DataFrame, transform: Transform, height: int, width: int, resolution: float = 0.001,
-    max_samples: int = 10_000, nodata: int = 0,
+    max_samples: int | None = None, nodata: int = 0,
 ) -> DataFrame:
     """Values under an evenly spaced lattice over the raster bounds.
 
-    A lattice of more than ``max_samples`` points is thinned on both axes, to 10 at the least. Lattice
+    If ``max_samples`` is given, a larger lattice is thinned on both axes, to 10 at the least. Lattice
     coordinates are rounded to 3 decimals and looked up by an equi join on the pixel index.
     """
     west, north, dx, dy = transform
     east, south = west + width * dx, north - height * dy
     n_lon, n_lat = lattice_axis(west, east, resolution), lattice_axis(south, north, resolution)
-    if n_lon * n_lat > max_samples:
+    if max_samples is not None and n_lon * n_lat > max_samples:
         shrink = (n_lon * n_lat / max_samples) ** 0.5
         n_lon, n_lat = max(10, int(n_lon / shrink)), max(10, int(n_lat / shrink))
     spark = pixels.sparkSession

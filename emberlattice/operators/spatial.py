@@ -399,12 +399,14 @@ def lattice_interpolate(
     """Piecewise-linear interpolation from a regular source lattice; nearest point elsewhere.
 
     Each lattice square is split on its SW-NE diagonal. A target inside a triangle with all three
-    corners present gets the plane through them; any other target gets its nearest source value.
+    corners present gets the plane through them; any other target gets its nearest source value. Only
+    source points on the lattice are corners; all others serve the nearest value alone.
     """
     by = list(by)
     s = round(step * TICKS)
     y0, x0 = round(origin[0] * TICKS), round(origin[1] * TICKS)
-    unique = source.groupBy(
+    on_lattice = (F.pmod(ticks("latitude") - y0, F.lit(s)) == 0) & (F.pmod(ticks("longitude") - x0, F.lit(s)) == 0)
+    unique = source.where(on_lattice).groupBy(
         *by,
         floor_div(ticks("latitude") - y0, s).alias("i"),
         floor_div(ticks("longitude") - x0, s).alias("j"),

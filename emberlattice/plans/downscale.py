@@ -46,8 +46,8 @@ def train(table: DataFrame, name: str = "ridge", **params):
 
 def downscale(
     daily: DataFrame, measures: Sequence[str], model_name: str = "ridge", step: float = 0.5,
-    dlat: float = 0.009, dlon: float = 0.012, cap: int | None = 500_000, target: str = "fwi",
-    include_target: bool = True, **params,
+    dlat: float = 0.009, dlon: float = 0.012, cap: int | None = None, target: str = "fwi",
+    include_target: bool = False, **params,
 ) -> DataFrame:
     """Fit one regressor on all training pairs and predict every day's fine lattice."""
     table, names, stats = prepare_training(daily, measures, step, target, include_target)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and read it back: lineage cut, run once, size known."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Store the table once in the shared folder and cut its lineage (reliable checkpoint)."""
     shared_folder(df.sparkSession)

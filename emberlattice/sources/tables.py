@@ -12,18 +12,23 @@ from emberlattice.operators.clean import nan_to_null, sample_n
 from emberlattice.schema import KEYS
 
 
+# Columns whose filters must reach the scan.
+COORDINATES = ("latitude", "longitude", "lat", "lon", "x", "y")
+
+
 def read_daily_table(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", time: str | None = "time"
 ) -> DataFrame:
     """Read a delimited or columnar daily table with a declared schema.
 
-    Large files are split by Spark (spark.sql.files.maxPartitionBytes). NaN becomes null and a
-    ``date`` column is derived from ``time``.
+    Large files are split by Spark (spark.sql.files.maxPartitionBytes). NaN measures become null and a
+    ``date`` column is derived from ``time``. Coordinates stay as read, so that box filters reach the
+    scan; a NaN coordinate lies in no box.
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    df = nan_to_null(reader.format(fmt).load(path))
+    df = nan_to_null(reader.format(fmt).load(path), COORDINATES)
     if time and time in df.columns and "date" not in df.columns:
         df = df.withColumn("date", F.col(time).cast("date"))
     return df
@@ -37,7 +42,7 @@ def scan_named(
     reader = spark.read.schema(schema).option("pathGlobFilter", pattern)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return nan_to_null(reader.format(fmt).load(path))
+    return nan_to_null(reader.format(fmt).load(path), COORDINATES)
 
 
 def scan_years(
@@ -63,16 +68,19 @@ def pixels_of_tiles(pixels: DataFrame, tiles: DataFrame, box: Sequence[float], k
 
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",),
-    mode: str = "overwrite", sort: Sequence[str] = KEYS, files_per_slice: int = 1,
+    mode: str = "overwrite", sort: Sequence[str] = KEYS, files_per_slice: int | None = None,
 ) -> None:
     """Save a table partitioned by date, sorted inside each file.
 
-    Rows are gathered per slice first, so tasks do not each write a small file for every date. A
-    large date is split over ``files_per_slice`` files (and tasks) by a hash of its keys.
+    Rows are gathered per slice first, so tasks do not each write a small file for every date. Spark
+    rebalances the slices by size: large dates are split over tasks, small ones share one. With
+    ``files_per_slice`` a date is cut in that many files by a hash of its keys instead.
     """
     inner = [c for c in sort if c in df.columns and c not in partition_by]
     out = df
-    if partition_by:
+    if partition_by and files_per_slice is None:
+        out = out.hint("rebalance", *[F.col(c) for c in partition_by])
+    elif partition_by:
         slot = F.pmod(F.xxhash64(*(inner or df.columns)), F.lit(files_per_slice))
         out = out.repartition(*partition_by, slot)
     if inner or partition_by:
@@ -85,7 +93,7 @@ def write_table(
 
 def append_slices(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",),
-    files_per_slice: int = 1,
+    files_per_slice: int | None = None,
 ) -> None:
     """Append the time slices of ``df`` in one job."""
     write_table(df, path, fmt, partition_by, "append", files_per_slice=files_per_slice)
