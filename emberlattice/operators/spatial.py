@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlattice.functions import TICKS, floor_div, planar_distance, ticks
 
-PYRAMID_FACTOR = 4
+PYRAMID_FACTOR = 8
 WORLD_TICKS = 720 * TICKS
 
 
@@ -120,10 +121,11 @@ def _without_neighbour(
 def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[str]) -> DataFrame:
     """Exact nearest site for coordinates with none within r0, without pairing whole groups.
 
-    1. Find the smallest cell size r0 * 4^k whose 3x3 block holds a site; any site in it bounds the
-       distance. 2. List the occupied base cells (side r0) of the blocks within that bound and keep
-       those that can hold the nearest site. 3. Compare with the sites of the kept cells.
-    Steps 1 and 2 touch only occupied cells, at most 9*16^k of them per coordinate.
+    1. Find the smallest cell size r0 * FACTOR^k whose 3x3 block holds a site; any site in it bounds the
+       distance. 2. From the block that covers the bound go down level by level: a cell's occupied
+       children are opened only if the cell can hold a nearer site than the best representative seen
+       so far. 3. Compare with the sites of the base cells that are left.
+    A coordinate keeps few cells on every level, however many sites lie in its far block.
     """
     levels, side = [], r0
     while True:
@@ -134,61 +136,63 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
     base = _with_cells(sites, "ry", "rx", r0).groupBy(*by, "cy", "cx").agg(
         F.min(F.struct("ry", "rx")).alias("rep")
     )
+
     def parents(df, cy, cx):
-        """Cell of size r0*4^k holding base cell (cy, cx), for k in column k."""
+        """Cell of size r0*FACTOR^k holding base cell (cy, cx), for k in column k."""
         scale = f"power({PYRAMID_FACTOR}, k)"
         return df.withColumns(
             {"py": F.expr(f"floor({cy} / {scale})"), "px": F.expr(f"floor({cx} / {scale})")}
         )
 
-    all_levels = F.expr(f"explode(sequence(0, {len(levels) - 1}))")
-    pyramid = (
-        parents(base.withColumn("k", all_levels), "cy", "cx")
-        .groupBy(*by, "k", "py", "px")
-        .agg(F.min("rep").alias("rep"))
-    )
     def blocks(df):
         """One row per parent cell of the 3x3 block."""
         return df.withColumn("py", F.expr("explode(sequence(py - 1, py + 1))")).withColumn(
             "px", F.expr("explode(sequence(px - 1, px + 1))")
         )
 
+    all_levels = F.expr(f"explode(sequence(0, {len(levels) - 1}))")
+    pyramid = (
+        parents(base.withColumn("k", all_levels), "cy", "cx")
+        .groupBy(*by, "k", "py", "px")
+        .agg(F.min("rep").alias("rep"))
+    )
+    reps = pyramid.select(*by, "k", "py", "px", F.col("rep.ry").alias("ry"), F.col("rep.rx").alias("rx"))
     homes = _with_cells(missing, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"})
     around = blocks(parents(homes.withColumn("k", all_levels), "hy", "hx"))
-    # Smallest level first, then the nearest representative on that level.
+    cover = "CASE " + " ".join(f"WHEN ub <= {s * s}L THEN {k}" for k, s in enumerate(levels)) + f" ELSE {len(levels) - 1} END"
+    # Smallest level first, then the nearest representative on that level; then the level whose cells
+    # are at least as wide as the bound, so that one 3x3 block covers the circle.
     bound = (
-        around.join(pyramid, [*by, "k", "py", "px"])
-        .select(*by, "ly", "lx", "k", F.col("rep.ry").alias("ry"), F.col("rep.rx").alias("rx"))
+        around.join(reps, [*by, "k", "py", "px"])
         .withColumn("d2", _d2())
         .groupBy(*by, "ly", "lx")
         .agg(F.min(F.struct("k", "d2")).alias("m"))
         .select(*by, "ly", "lx", F.col("m.d2").alias("ub"))
-        # Level whose cells are at least as wide as the bound: one 3x3 block covers the circle.
-        .withColumn(
-            "k",
-            F.expr("CASE " + " ".join(f"WHEN ub <= {s * s}L THEN {k}" for k, s in enumerate(levels)) + " END"),
-        )
+        .withColumn("k", F.expr(cover))
     )
-    # Map base cells to their parent at each level in use, then list them per coordinate.
-    base_up = parents(base.withColumn("k", all_levels), "cy", "cx")
-    search = parents(
-        _with_cells(bound, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"}), "hy", "hx"
-    )
-    search = blocks(search)
-
-    def gap(c, x):
-        return f"greatest({c} * {r0} - {x}, {x} - {c} * {r0} - {r0 - 1}, 0)"
-
-    cells = (
-        search.join(base_up, [*by, "k", "py", "px"])
-        .withColumn(
-            "gap2",
-            F.expr(f"{gap('cy', 'ly')} * {gap('cy', 'ly')} + {gap('cx', 'lx')} * {gap('cx', 'lx')}"),
-        )
-        .where("gap2 <= ub")
-        .select(*by, "ly", "lx", "cy", "cx")
+    search = _with_cells(bound, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"})
+    starts = blocks(parents(search, "hy", "hx")).join(reps, [*by, "k", "py", "px"]).select(
+        *by, "ly", "lx", "ub", "k", "py", "px", "ry", "rx"
     )
-    pairs = cells.join(_with_cells(sites, "ry", "rx", r0), [*by, "cy", "cx"]).withColumn("d2", _d2())
+    own = W.partitionBy(*by, "ly", "lx")
+    kept = None
+    for k in reversed(range(len(levels))):
+        cells = starts.where(F.col("k") == k)
+        if kept is not None:
+            children = reps.where(F.col("k") == k).withColumns(
+                {"qy": F.expr(f"floor(py / {PYRAMID_FACTOR})"), "qx": F.expr(f"floor(px / {PYRAMID_FACTOR})")}
+            )
+            opened = kept.select(*by, "ly", "lx", "ub", F.col("py").alias("qy"), F.col("px").alias("qx"))
+            cells = cells.unionByName(opened.join(children, [*by, "qy", "qx"]).drop("qy", "qx"))
+        side = levels[k]
+
+        def gap(c, x):
+            return f"greatest({c} * {side} - {x}, {x} - {c} * {side} - {side - 1}, 0)"
+
+        near = cells.withColumn("ub", F.least("ub", F.min(_d2()).over(own)))
+        kept = near.where(F.expr(f"{gap('py', 'ly')} * {gap('py', 'ly')} + {gap('px', 'lx')} * {gap('px', 'lx')} <= ub"))
+    base_cells = kept.select(*by, "ly", "lx", F.col("py").alias("cy"), F.col("px").alias("cx"))
+    pairs = base_cells.join(_with_cells(sites, "ry", "rx", r0), [*by, "cy", "cx"]).withColumn("d2", _d2())
     return _best(pairs, by)
 
 
