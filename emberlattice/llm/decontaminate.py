@@ -23,13 +23,14 @@ def canonical(text: Column) -> Column:
     capitalised words inside a sentence.
     """
     units, words = "|".join(UNITS), "|".join(NUMBER_WORDS)
+    firsts = "".join(sorted({w[0] for w in NUMBER_WORDS}))
     plain = F.translate(text, MARK, "")
-    marked = F.regexp_replace(plain, rf"\b(?:{'|'.join(NAMES)})\b|(?<=[\p{{Ll}},;] )\p{{Lu}}\p{{Ll}}+", f"{MARK}n$0")
+    marked = F.regexp_replace(plain, rf"(?=\p{{Lu}})(?:\b(?:{'|'.join(NAMES)})\b|(?<=[\p{{Ll}},;] )\p{{Lu}}\p{{Ll}}+)", f"{MARK}n$0")
     marked = F.when(plain.rlike("[0-9]"), F.regexp_replace(
         F.regexp_replace(marked, r"(?<![\p{L}\p{N}])([0-9]+(?:[.,][0-9]+)*)", f"{MARK}d$1"),
         rf"({MARK}d[0-9.,]*[0-9]) ?({units})\b", f"$1 {MARK}u$2")).otherwise(marked)
-    marked = F.regexp_replace(F.lower(marked), rf"(?<![\p{{L}}\p{{N}}{MARK}])(?:{words})(?![\p{{L}}\p{{N}}])", f"{MARK}d$0")
-    return F.regexp_replace(marked, rf"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{{L}}\p{{N}}{MARK}.,]+", " ")
+    marked = F.regexp_replace(F.lower(marked), rf"(?=[{firsts}])(?<![\p{{L}}\p{{N}}{MARK}])(?:{words})(?![\p{{L}}\p{{N}}])", f"{MARK}d$0")
+    return F.regexp_replace(marked, rf"[.,](?:(?<![0-9].)|(?![0-9]))|[^\p{{L}}\p{{N}}{MARK}.,]+", " ")
 
 
 def windows_of(text: Column, width: int, max_slots: int) -> Column:
