@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import GAPS, UPPER, fraction_of, let, text_of, words_of
+from emberlattice.llm.common import fraction_of, let, text_of, words_of
 
 FEATURES = ("log_words", "word_length", "symbols", "pipes", "capitals", "digits", "exclamations", "stops", "distinct_words",
             "distinct_lines", "line_words", "other", "vocabulary", "log_distinct")
@@ -20,19 +20,18 @@ def features_of(text: Column) -> Column:
     Only the text enters: counts of characters, words and lines, as shares between 0 and 1 (roots of the
     rare ones) or logs.
     """
-    def without(chars):
-        return F.length(text) - F.length(F.translate(text, chars, ""))
+    def count(pattern):
+        return F.regexp_count(text, F.lit(pattern))
 
     def measure(words):
         n = F.size(words)
-        chars = F.greatest(F.length(F.translate(text, GAPS, "")), F.lit(1)).cast("double")
+        chars = F.greatest(F.length(F.array_join(words, "")), F.lit(1)).cast("double")
         lines = F.split(text, "\n", -1)
-        letters = UPPER + UPPER.lower()
         share = F.size(F.array_distinct(words)) / n
-        rare = [F.sqrt(without(c) / chars) for c in ("#*$%&<>", "|", UPPER, "0123456789", "!")]
+        rare = [F.sqrt(count(c) / chars) for c in ("[#*$%&<>]", "[|]", "[A-Z]", "[0-9]", "!")]
         return F.when(n > 0, F.array(
-            F.log1p(n), F.log1p(chars / n), *rare, without(".") / n, share, F.size(F.array_distinct(lines)) / F.size(lines),
-            F.log1p(n / F.size(lines)), 1 - without(letters) / chars, share * F.log1p(n), F.log(share + 0.02))
+            F.log1p(n), F.log1p(chars / n), *rare, count("[.]") / n, share, F.size(F.array_distinct(lines)) / F.size(lines),
+            F.log1p(n / F.size(lines)), count("[^A-Za-z\\x20\\x09-\\x0D]") / chars, share * F.log1p(n), F.log(share + 0.02))
         ).otherwise(F.array(*[F.lit(0.0)] * len(FEATURES)))
 
     return let(words_of(text), measure)
