@@ -353,6 +353,24 @@ def _(spark, sf):
     return J.retention_gated_merge(D.fwi_daily(spark, sf), D.temp_daily(spark, sf), "temp", ["temperature_max"])
 
 
+def _moved(spark, sf, by):
+    shift = {c: F.col(c) + by for c in ("latitude", "longitude")}
+    return J.retention_gated_merge(D.fwi_daily(spark, sf), D.temp_daily(spark, sf).withColumns(shift), "temp", ["temperature_max"])
+
+
+@check("J02_falls_to_nearest", build(
+    "SELECT f.date, f.latitude, f.longitude, f.fwi, t.temperature_max FROM fwi_daily f JOIN temp_daily t USING (date, latitude, longitude)",
+    ["fwi_daily", "temp_daily"]), ["temperature_max"])
+def _(spark, sf):
+    """No key of the moved table is met, but nearly every point has a neighbour within the tolerance."""
+    return _moved(spark, sf, 0.05)
+
+
+@check("J02_falls_to_base", build("SELECT date, latitude, longitude, fwi FROM fwi_daily", ["fwi_daily"]))
+def _(spark, sf):
+    return _moved(spark, sf, 0.12)
+
+
 @check("J03_merge_variables", build(
     "SELECT date, latitude, longitude, fwi, temperature_max, dewpoint, total_precipitation FROM fwi_daily FULL JOIN temp_daily USING (date, latitude, longitude)"
     " FULL JOIN atmos_daily USING (date, latitude, longitude)", ["fwi_daily", "temp_daily", "atmos_daily"]),

@@ -40,6 +40,15 @@ def _(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+@check("S01_read_csv", build(_ALL, G))
+def _(spark, sf):
+    """The daily rows as delimited text, read with the declared schema."""
+    path = folder(spark, "delimited")
+    time = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("time")
+    _grid(spark, sf).select(time, "latitude", "longitude", "fwi").write.option("header", True).csv(path)
+    return tables.read_daily_table(spark, path, FWI_DAILY).select("date", "latitude", "longitude", "fwi")
+
+
 @check("S08_append_slices", build(_ALL, G))
 def _(spark, sf):
     path, g = folder(spark, "slices"), _grid(spark, sf)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberlattice.functions import degrees, ticks
 from emberlattice.operators.spatial import nearest_within
 from emberlattice.schema import KEYS
+from emberlattice.session import written
 
 
 def _common_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -67,15 +68,15 @@ def retention_gated_merge(
     """Inner merge if it keeps more than ``minimum`` of the base; else the nearest-point merge if
     that keeps more than ``nearest_minimum``; else the base unchanged.
 
-    The branch depends on two counts, which are read here.
+    The branch depends on two counts, which are read here; the nearest matches are stored for the second.
     """
     counts = retention_share(base, other, keys).first()
     if counts["share"] is not None and counts["share"] > minimum:
         return merge_daily(base, other, name, keys)
     by = [k for k in keys if k not in ("latitude", "longitude") and k in base.columns]
-    near = nearest_within(base, other, measures, tolerance, by=by).drop(
+    near = written(nearest_within(base, other, measures, tolerance, by=by).drop(
         "distance", "near_latitude", "near_longitude"
-    )
+    ))
     if counts["n_base"] and near.count() / counts["n_base"] > nearest_minimum:
         return near
     return base

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from emberlattice.operators.clean import impute_median
+from emberlattice.operators.clean import impute_median, with_lineage
 from emberlattice.operators.features import training_pairs
 from emberlattice.operators.learn import (
-    FITTERS, assemble, evaluate_model, predict_fine, robust_scale, scale_stats, split_rows,
+    FITTERS, assemble, cv_r2, evaluate_model, fold_column, predict_fine, robust_scale, row_order, scale_stats, split_rows,
 )
-from emberlattice.session import materialise
+from emberlattice.session import materialise, written
 
 KEYS = ["date", "fine_lat", "fine_lon"]
 
@@ -44,12 +45,43 @@ def train(table: DataFrame, name: str = "ridge", **params):
     return model, evaluate_model(model, fit_rows, test_rows)
 
 
+def select_model(table: DataFrame, names: Sequence[str] = tuple(FITTERS), params: Mapping[str, dict] | None = None, folds: int = 5):
+    """(name, model, scores by name): every regressor is trained on the 80 % part and cross-validated
+    there on contiguous folds; the highest mean R2 wins, then the first name."""
+    fit_rows, test_rows = split_rows(table, KEYS)
+    folded = written(fold_column(fit_rows, row_order("date", "fine_lat", "fine_lon"), folds))
+    models, scores = {}, {}
+    for name in names:
+        options = (params or {}).get(name, {})
+        models[name] = FITTERS[name](folded, **options)
+        held = cv_r2(folded, lambda rows, n=name, o=options: FITTERS[n](rows, **o), folds=folds).first()
+        scores[name] = {**held.asDict(), **evaluate_model(models[name], folded.drop("fold"), test_rows).first().asDict()}
+    best = max(sorted(names), key=lambda n: scores[n]["cv_r2"])
+    return best, models[best], scores
+
+
+def downscale_best(
+    daily: DataFrame, measures: Sequence[str], step: float = 0.5, dlat: float = 0.009, dlon: float = 0.012,
+    target: str = "fwi", names: Sequence[str] = tuple(FITTERS), params: Mapping[str, dict] | None = None,
+) -> DataFrame:
+    """Predict the fine lattice with the best of several regressors; adds method, resolutions and score."""
+    table, features, stats = prepare_training(daily, measures, step, target, include_target=True)
+    name, model, scores = select_model(written(table), names, params)
+    fine = predict_fine(daily, model, features, list(measures), dlat, dlon, stats=stats)
+    now = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
+    return with_lineage(fine, name, f"{step} degrees", f"{dlat} degrees", scores[name]["cv_r2"], now)
+
+
 def downscale(
     daily: DataFrame, measures: Sequence[str], model_name: str = "ridge", step: float = 0.5,
     dlat: float = 0.009, dlon: float = 0.012, cap: int | None = None, target: str = "fwi",
-    include_target: bool = False, **params,
+    include_target: bool = True, **params,
 ) -> DataFrame:
-    """Fit one regressor on all training pairs and predict every day's fine lattice."""
+    """Fit one regressor on all training pairs and predict every day's fine lattice.
+
+    The neighbourhood features of the lattice hold the target's own coarse mean, so it is a feature
+    here unless left out; medians and quartiles come from all pairs.
+    """
     table, names, stats = prepare_training(daily, measures, step, target, include_target)
     model = FITTERS[model_name](table, **params)
     inputs = [m for m in measures if include_target or m != target]

@@ -82,3 +82,18 @@ def test_training_to_scores(spark):
     row = scores.first()
     # The coarse mean holds the target, so this closure must explain some of it.
     assert row["test_r2"] > 0.2 and row["n_train"] > row["n_test"] > 0 and len(names) == 11
+
+
+def test_the_best_of_three_models_predicts(spark):
+    import datetime as dt
+    import math
+
+    from emberlattice.plans.downscale import downscale_best
+
+    rows = [(dt.date(2017, 7, d + 1), 40 + 0.25 * i, -8 + 0.25 * j, 20 + 5 * math.sin(i + d) + j, 290 + 2 * math.sin(i + d) + 0.4 * j)
+            for d in range(4) for i in range(8) for j in range(8)]
+    daily = spark.createDataFrame(rows, "date date, latitude double, longitude double, fwi double, temperature_max double")
+    got = downscale_best(daily, ["fwi", "temperature_max"], dlat=0.2, dlon=0.2,
+                         params={"gradient_boosting": {"trees": 3}, "random_forest": {"trees": 3, "depth": 4}})
+    first = got.first()
+    assert first["model_cv_score"] > 0 and first["prediction_method"] in ("ridge", "gradient_boosting", "random_forest") and got.count() == 4 * 10 * 10

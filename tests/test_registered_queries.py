@@ -9,6 +9,10 @@ from checks.run import TABLES, compare
 SF = "/root/testdata/sf0.001"
 
 
+# The production lattice is too large for a brute-force SQL, the others have no SQL form.
+NO_SQL = {"M15_predict_fine_1km", "M15_downscale_full_features", "M19_permutation_importance"}
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -20,7 +24,7 @@ def con():
 @pytest.mark.parametrize("name", list(REGISTRY))
 def test_query_matches_sql(spark, con, name):
     status, _, _, note = compare(spark, con, SF, name)
-    assert status in ("ok", "rows-only"), note
+    assert status == ("rows-only" if name in NO_SQL else "ok"), note
 
 
 PLANNED = ["J06_nearest_join", "J06_nearest_unbounded", "J08_cells_around_closed", "J10_radius_join",
