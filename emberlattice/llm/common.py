@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,10 @@ def fraction_of(seed: str, *keys: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, also where lambdas inside ``body`` use it."""
     return F.transform(F.array(value), body)[0]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most ``rows`` rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for start in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(start, rows)

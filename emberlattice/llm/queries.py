@@ -26,4 +26,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": over(ngram_join.op9_ngram_join, "documents"),
     "op10_quality_classifier": over(quality_model.op10_quality_classifier, "documents", "labels"),
 }
-SQL: dict[str, str] = {"op2_host_rules": host_rules.OP2_SQL, "op4_source_mix": mixing.OP4_SQL}
+SQL: dict[str, str] = {"op2_host_rules": host_rules.OP2_SQL, "op4_source_mix": mixing.OP4_SQL,
+                      "op9_ngram_join": ngram_join.OP9_SQL}

@@ -21,12 +21,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One 64-bit fingerprint per word (between ASCII spaces), A-Z read as a-z."""
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit fingerprint and the byte length of every word (between ASCII spaces), A-Z read as a-z."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     inside = ~_GAP[data]
     if not inside.any():
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     lengths = edge[1::2] - edge[::2]
     first = np.cumsum(lengths) - lengths
@@ -34,17 +34,23 @@ def word_hashes(text: str) -> np.ndarray:
     terms = _TABLE[data[inside]] * _POWERS[place % _BLOCK]
     if lengths.max() > _BLOCK:
         terms = mix(terms + (place // _BLOCK).astype(np.uint64) * _A)
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * _A)
+    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * _A), lengths
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the text's word shingles; a shorter text is one shingle."""
-    words = word_hashes(text) if text else np.zeros(0, dtype=np.uint64)
+    """Sorted distinct fingerprints of the text's word shingles; a shorter text is one shingle.
+
+    The six highest bits fall with the shingle's length in bytes, so long shingles, which few texts
+    share, come first in the order of fingerprints; the other 58 bits are the hash.
+    """
+    words, lengths = word_hashes(text) if text else (np.zeros(0, dtype=np.uint64), None)
     if not len(words):
         return words
     span = min(width, len(words))
     count = len(words) - span + 1
-    out = np.full(count, span, dtype=np.uint64)
+    out, size = np.full(count, span, dtype=np.uint64), np.zeros(count, dtype=np.int64)
     for k in range(span):
         out = mix(out * _A + words[k:k + count])
-    return np.unique(out)
+        size += lengths[k:k + count]
+    rank = np.maximum(63 - size // 2, 0).astype(np.uint64)
+    return np.unique((out >> np.uint64(6)) | (rank << np.uint64(58)))
