@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import GAP_CLASS, UPPER, sliced, store
+from emberlattice.llm.common import GAP_CLASS, UPPER, discard, sliced, store
 from emberlattice.llm.components import components
 from emberlattice.llm.shingles import shingle_set
 
@@ -230,12 +230,15 @@ def pairs_across(placed: DataFrame, mixed: DataFrame, words: list[str], percent:
 
 def classes_of_sets(docs: DataFrame, width: int, percent: int, broadcast_rows: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Described document rows, and distinct sets (sid, component_id, rep, text_hash, root)."""
-    rows = store(describe_sets(docs, frequent_shingles(docs, width), width, percent))
+    described = store(describe_sets(docs, frequent_shingles(docs, width), width, percent))
+    rows = store(described.select("doc_id", "text_hash", "n", "sid"))
     first = F.struct("doc_id", "text_hash")
-    sets = rows.where(F.col("n") > 0).groupBy("sid").agg(
+    sets = described.where(F.col("n") > 0).groupBy("sid").agg(
         F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "text_hash", "n", "gid", "prefix", *SKETCH), first).alias("own"))
     sets = store(sets.select("sid", "low", F.col("own.doc_id").alias("rep"), "own.text_hash", "own.n", "own.gid", "own.prefix",
                              *[f"own.{s}" for s in SKETCH]))
+    # The wide rows are needed no more; they would take as much of the shared folder as the sets.
+    discard(described)
     groups = sets.groupBy("gid").agg(F.min("sid").alias("leader"), F.count(F.lit(1)).alias("members"))
     # Numbered as written; the numbers are read from the stored table only.
     groups = store(groups.withColumn("g", F.monotonically_increasing_id()))
@@ -271,7 +274,7 @@ def classes_of_sets(docs: DataFrame, width: int, percent: int, broadcast_rows: i
     final = sets.join(roots.withColumnRenamed("node", "_node"), F.col("sid") == F.col("_node"), "left")
     final = final.select("sid", "low", "rep", "text_hash", F.coalesce("root", "sid").alias("root"))
     lowest = final.groupBy("root").agg(F.min("low").alias("component_id"), F.min(F.struct("rep", "text_hash")).alias("kept"))
-    return rows.select("doc_id", "text_hash", "n", "sid"), final.join(lowest, "root").select("sid", "component_id", "kept")
+    return rows, final.join(lowest, "root").select("sid", "component_id", "kept")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, broadcast_rows: int = 200_000) -> DataFrame:
