@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import store, text_of
+from emberlattice.llm.common import sliced, store, text_of
 from emberlattice.llm.shingles import mix
 
 BLOCK = 128
@@ -76,18 +76,17 @@ def repeated_offsets(contexts: list[tuple[int, bytes]], length: int) -> np.ndarr
     Offsets stand for the positions between samples. Within an offset, strings are ordered by a 64-bit
     fingerprint of all their bytes and neighbours are compared.
     """
-    reach = length - BLOCK
-    offsets = np.arange(reach + 1)
-    hashes, valid = string_hashes(contexts, length)
-    order = np.argsort(hashes, axis=0, kind="stable")
-    ranked = np.take_along_axis(hashes, order, axis=0)
-    good = np.take_along_axis(valid, order, axis=0)
-    same = (ranked[1:] == ranked[:-1]) & good[1:] & good[:-1]
-    twin = np.zeros_like(good)
-    twin[1:] |= same
-    twin[:-1] |= same
-    out = np.zeros_like(twin)
-    out[order, offsets[None, :]] = twin
+    parts = [string_hashes(contexts[k:k + 256], length) for k in range(0, len(contexts), 256)]
+    hashes, valid = (np.concatenate(p) for p in zip(*parts))
+    out = np.zeros_like(valid)
+    for offset in range(length - BLOCK + 1):
+        inside = np.flatnonzero(valid[:, offset])
+        column = hashes[inside, offset]
+        order = np.argsort(column, kind="stable")
+        ranked = column[order]
+        same = ranked[1:] == ranked[:-1]
+        out[inside[order[1:][same]], offset] = True
+        out[inside[order[:-1][same]], offset] = True
     return out
 
 
@@ -98,7 +97,7 @@ _BYTE_KEYS = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 def string_hashes(contexts: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the strings at every offset, and whether the string lies inside the text.
 
-    Invalid ones get distinct values. Sums of products with a key for each place, so all strings of an
+    Sums of products with a key for each place, so all strings of an
     offset use the same keys.
     """
     reach = length - BLOCK
@@ -110,9 +109,7 @@ def string_hashes(contexts: list[tuple[int, bytes]], length: int) -> tuple[np.nd
     grid *= _PLACE_KEYS[:reach + length]
     sums = np.concatenate([np.zeros((len(contexts), 1), np.uint64), np.cumsum(grid, axis=1, dtype=np.uint64)], axis=1)
     offsets = np.arange(reach + 1)
-    hashes = mix(sums[:, reach - offsets + length] - sums[:, reach - offsets])
-    fill = mix(np.arange(hashes.size, dtype=np.uint64) * _KEYS[5] + _KEYS[6]).reshape(hashes.shape)
-    return np.where(valid, hashes, fill), valid
+    return mix(sums[:, reach - offsets + length] - sums[:, reach - offsets]), valid
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -142,13 +139,13 @@ def collected(rows: DataFrame, reps: DataFrame, value: str, most: int) -> tuple[
     return lists, n <= most
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 4096, broadcast_values: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 32_768, broadcast_values: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (h, rep, copies) and ranges (h, lo, hi) of start positions whose strings repeat."""
     texts = with_hash(docs)
     reps = store(texts.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
     def name_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [sample_cover(t.encode("utf-8", "surrogatepass"), length) for t in batch.column(1).to_pylist()]
             counts = [len(at) for at, _ in rows]
             owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), counts)))
@@ -158,11 +155,12 @@ def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 4096, b
 
     samples = store(texts.select("h", "text").mapInArrow(name_samples, "h binary, name bigint, at bigint"))
     place = F.struct("h", "at")
-    shared = samples.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("name")
+    # Stored, so that Spark can split a block that very many positions share.
+    shared = store(samples.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("name"))
     live, small = collected(samples.join(shared, "name", "left_semi").distinct(), reps, "at", broadcast_values)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hs, names, wide, places, los, his = [], [], [], [], [], []
             for text, h, chosen in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = text.encode("utf-8", "surrogatepass")
@@ -189,7 +187,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 4096, b
     wanted, small = collected(open_, reps, "sample", broadcast_values)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, h, chosen in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = text.encode("utf-8", "surrogatepass")
@@ -221,7 +219,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 4096, b
             return pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(los, pa.int64()), pa.array(his, pa.int64())], names=["h", "lo", "hi"])
 
         current, rows, done = None, [], []
-        for batch in batches:
+        for batch in sliced(batches):
             for name, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if name != current and rows:
                     done.extend(close(rows))
@@ -236,7 +234,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 4096, b
     edges = usual.mapInArrow(compare, "h binary, lo bigint, hi bigint")
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [batch.column(i).to_pylist() for i in range(5)]
             for k in range(0, len(rows[0]), 64):
                 part = [c[k:k + 64] for c in rows]
@@ -256,7 +254,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, hot_class: int = 4096, b
     return reps, ranges
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot_class: int = 4096, broadcast_values: int = 3_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot_class: int = 32_768, broadcast_values: int = 8_000_000) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Removed is every byte under a string of ``length`` bytes (129 to 2000) that also starts anywhere else,
@@ -272,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_class: int = 4096, br
     lists = ranges.groupBy("h").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("list"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for ranges in batch.column(1).to_pylist():
                 spans: list[list[int]] = []
@@ -294,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_class: int = 4096, br
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, cuts, copied in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 data = text.encode("utf-8", "surrogatepass")
