@@ -79,6 +79,16 @@ def repeated_offsets(contexts: list[tuple[int, bytes]], length: int) -> np.ndarr
     parts = [string_hashes(contexts[k:k + 256], length) for k in range(0, len(contexts), 256)]
     hashes, valid = (np.concatenate(p) for p in zip(*parts))
     out = np.zeros_like(valid)
+    if len(contexts) <= 1024:
+        # Few contexts: all offsets at once.
+        order = np.argsort(hashes, axis=0, kind="stable")
+        ranked, good = np.take_along_axis(hashes, order, axis=0), np.take_along_axis(valid, order, axis=0)
+        same = (ranked[1:] == ranked[:-1]) & good[1:] & good[:-1]
+        twin = np.zeros_like(valid)
+        twin[1:] |= same
+        twin[:-1] |= same
+        np.put_along_axis(out, order, twin, axis=0)
+        return out
     for offset in range(length - BLOCK + 1):
         inside = np.flatnonzero(valid[:, offset])
         column = hashes[inside, offset]

@@ -71,3 +71,24 @@ def test_cover_holds_a_common_sample_across_chunks(monkeypatch):
 
 def test_empty_table(spark):
     assert S.op5_suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_few_and_many_contexts_give_the_same_offsets():
+    rng = np.random.default_rng(6)
+    base = bytes(rng.integers(97, 123, 672, dtype=np.uint8))
+    contexts = []
+    for i in range(1100):
+        text = bytearray(base)
+        for at in rng.integers(0, 672, 3):
+            text[at] = 65 + i % 7
+        cut = int(rng.integers(0, 272)) if i % 3 == 0 else 272
+        contexts.append((cut, bytes(text[272 - cut:])))
+    many = S.repeated_offsets(contexts, 400)
+    some = S.repeated_offsets(contexts[:1000] + contexts[1000:1024], 400)
+    assert many.shape == (1100, 273) and not (some & ~many[:1024]).any()
+    for offset in (0, 100, 272):
+        strings = [c[left - offset:left - offset + 400] if offset <= left and len(c) - left >= 400 - offset else None for left, c in contexts]
+        seen = Counter(x for x in strings if x is not None)
+        assert [bool(f) for f in many[:, offset]] == [x is not None and seen[x] > 1 for x in strings]
+        seen = Counter(x for x in strings[:1024] if x is not None)
+        assert [bool(f) for f in some[:, offset]] == [x is not None and seen[x] > 1 for x in strings[:1024]]
