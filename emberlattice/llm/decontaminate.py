@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlattice.llm.common import let, store, text_of
@@ -60,13 +60,14 @@ def windows_of(text: Column, width: int, max_slots: int) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int = 3, min_share: float = 0.5,
-          min_windows: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
+          min_windows: int = 24, broadcast_rows: int = 500_000, strict: bool = True) -> DataFrame:
     """Pairs (doc_id, item_id) of documents that hold a benchmark item: matched, item_windows, verbatim.
 
     Template windows of both sides meet by their hash. Along one alignment (a constant shift between the
-    two texts) the slots must be consistent: equal benchmark values stand for equal document values; an
-    inconsistent alignment counts nothing. An item is leaked if ``min_share`` of its windows, or
-    ``min_windows`` of them, match. verbatim tells that every slot kept its value.
+    two texts) the slots must be consistent: equal benchmark values stand for equal document values. With
+    ``strict`` an inconsistent alignment counts nothing; without, see ``_judged``, only the windows that
+    break the rule do not count. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
+    them, match. verbatim tells that every slot kept its value.
 
     Null text counts as empty; null ids are an id. Rows with one doc_id are one document. Items shorter
     than ``width`` words cannot be told from common phrases and match nothing. Other columns are ignored,
@@ -78,20 +79,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int
     items = store(items.dropDuplicates(["item_id", "b_pos", "h", "b_slots"]))
     sizes = items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"))
     bounded = items.count() <= broadcast_rows
-    windows = docs.select("doc_id", F.inline(windows_of(text_of(), width, max_slots)))
-    hits = windows.join(F.broadcast(items) if bounded else items, "h")
-    pairs = F.zip_with("b_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("b_pos")).alias("shift")).agg(
-        F.countDistinct("b_pos").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
-    lines = lines.where(consistent).withColumn("same", F.forall("pairs", lambda p: p["b"] == p["d"]))
-    found = lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("matched"), F.every("same").alias("verbatim"))
+    text_key = [] if strict else [F.xxhash64(text_of()).alias("text_key")]
+    windows = docs.select("doc_id", *text_key, F.inline(windows_of(text_of(), width, max_slots)))
+    hits = windows.join(F.broadcast(items) if bounded else items, "h").withColumn("shift", F.col("pos") - F.col("b_pos"))
+    found = _all_or_nothing(hits) if strict else _judged(hits)
     sizes = sizes.withColumnRenamed("item_id", "sized_item")
     joined = found.join(F.broadcast(sizes) if bounded else sizes, F.col("item_id").eqNullSafe(F.col("sized_item")))
     enough = (F.col("matched") >= min_share * F.col("item_windows")) | (F.col("matched") >= min_windows)
     return joined.where(enough).select("doc_id", "item_id", "matched", "item_windows", "verbatim")
 
 
+def _pairs() -> Column:
+    return F.zip_with("b_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
+
+
+def _all_or_nothing(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, verbatim) of the consistent alignments; the others count nothing."""
+    lines = hits.groupBy("doc_id", "item_id", "shift").agg(
+        F.countDistinct("b_pos").alias("n"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"))
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
+    lines = lines.where(consistent).withColumn("same", F.forall("pairs", lambda p: p["b"] == p["d"]))
+    return lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("matched"), F.every("same").alias("verbatim"))
+
+
+def _judged(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, verbatim), each window judged by itself.
+
+    Windows without slots or with unchanged values always count. Another window counts if each of its
+    benchmark values stands for the document value that most windows of the alignment give it (ties: the
+    unchanged value, then the greatest). An alignment lies inside one text, so two texts of one doc_id
+    never conflict. The sort windows need no shuffle besides the one by alignment.
+    """
+    line = ["doc_id", "text_key", "item_id", "shift"]
+    rows = hits.select(*line, "b_pos", "slots", (F.col("b_slots") == F.col("slots")).alias("exact"), _pairs().alias("pairs"))
+    rows = rows.repartition(*line).dropDuplicates([*line, "b_pos", "slots", "exact"])
+    rows = rows.select(*line, "b_pos", "slots", "exact", F.inline_outer("pairs"))
+    votes = rows.withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy(*line, "b", "d")))
+    best = F.max(F.struct("votes", (F.col("b") == F.col("d")).alias("kept"), "d")).over(Window.partitionBy(*line, "b"))
+    fits = votes.withColumn("fits", F.col("exact") | (best["d"] == F.col("d")))
+    judged = fits.groupBy(*line, "b_pos", "slots", "exact").agg(F.every("fits").alias("counts"), F.every("exact").alias("same"))
+    lines = judged.groupBy(*line).agg(
+        F.collect_set(F.when(F.col("counts"), F.col("b_pos"))).alias("places"), F.every("same").alias("same"))
+    lines = lines.where(F.size("places") > 0)
+    places = F.transform("places", lambda p: F.struct(F.col("shift"), p.alias("pos")))
+    return lines.groupBy("doc_id", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long").alias("matched"), F.every("same").alias("verbatim"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
     found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
@@ -99,4 +133,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def op8_benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return leaks(docs, benchmark)
+    return leaks(docs, benchmark, strict=False)
