@@ -33,16 +33,18 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(marked, rf"[.,](?:(?<![0-9].)|(?![0-9]))|[^\p{{L}}\p{{N}}{MARK}.,]+", " ")
 
 
-def windows_of(text: Column, width: int, max_slots: int) -> Column:
+def windows_of(text: Column, width: int, max_slots: int, exact: bool = False) -> Column:
     """Array of (pos, h, slots): each window's template hash and its slot values in order.
 
-    Windows with more than ``max_slots`` slots say too little and are left out.
+    Windows with more than ``max_slots`` slots say too little as templates and are left out; with ``exact``
+    they get the hash of their words instead, without slots, so that only an equal window meets them.
     """
+    empty = F.array().cast("array<string>")
+
     def hashed(template, slots=None):
         size = F.size(template)
         places = F.sequence(F.lit(1), size - (width - 1))
-        values = (lambda i: F.array_remove(F.slice(slots, i, width), "")) if slots is not None else (
-            lambda i: F.array().cast("array<string>"))
+        values = (lambda i: F.array_remove(F.slice(slots, i, width), "")) if slots is not None else (lambda i: empty)
         rows = F.transform(places, lambda i: F.struct(
             i.alias("pos"), F.xxhash64(F.slice(template, i, width)).alias("h"), values(i).alias("slots")))
         return F.when(size >= width, rows).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>"))
@@ -50,11 +52,18 @@ def windows_of(text: Column, width: int, max_slots: int) -> Column:
     def split(line):
         return F.array_remove(F.split(line, " "), "")
 
+    def by_words(rows, line):
+        return let(split(F.regexp_replace(line, f"{MARK}[dun]", "")), lambda words: F.transform(rows, lambda r: F.struct(
+            r["pos"].alias("pos"), F.xxhash64(F.slice(words, r["pos"], width)).alias("h"), empty.alias("slots"))))
+
     def with_slots(line):
         slots = F.transform(split(line), lambda w: F.when(w.startswith(MARK), w).otherwise(""))
         template = split(F.regexp_replace(line, rf"{MARK}([dun])[^ ]*", f"{MARK}$1"))
         rows = let(template, lambda t: let(slots, lambda s: hashed(t, s)))
-        return F.filter(rows, lambda r: F.size(r["slots"]) <= max_slots)
+        few = lambda r: F.size(r["slots"]) <= max_slots
+        if not exact:
+            return F.filter(rows, few)
+        return let(rows, lambda all_rows: F.concat(F.filter(all_rows, few), by_words(F.filter(all_rows, lambda r: ~few(r)), line)))
 
     return let(canonical(text), lambda line: F.when(line.contains(MARK), with_slots(line)).otherwise(let(split(line), lambda t: hashed(t))))
 
@@ -65,8 +74,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int
 
     Template windows of both sides meet by their hash. Along one alignment (a constant shift between the
     two texts) the slots must be consistent: equal benchmark values stand for equal document values. With
-    ``strict`` an inconsistent alignment counts nothing; without, see ``_judged``, only the windows that
-    break the rule do not count. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
+    ``strict`` an inconsistent alignment counts nothing, and windows of more than ``max_slots`` slots are no
+    windows. Without, only the windows that break the rule do not count (see ``_judged``), and windows of
+    many slots meet by their words. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
     them, match. verbatim tells that every slot kept its value.
 
     Null text counts as empty; null ids are an id. Rows with one doc_id are one document. Items shorter
@@ -74,13 +84,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int
     so their names may clash. The benchmark's windows are broadcast only if counted to be at most
     ``broadcast_rows``; else both sides shuffle by hash.
     """
-    items = benchmark.select(F.col("item_id"), F.inline(windows_of(text_of(), width, max_slots)))
+    items = benchmark.select(F.col("item_id"), F.inline(windows_of(text_of(), width, max_slots, exact=not strict)))
     items = items.withColumnsRenamed({"pos": "b_pos", "slots": "b_slots"})
     items = store(items.dropDuplicates(["item_id", "b_pos", "h", "b_slots"]))
     sizes = items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"))
     bounded = items.count() <= broadcast_rows
     text_key = [] if strict else [F.xxhash64(text_of()).alias("text_key")]
-    windows = docs.select("doc_id", *text_key, F.inline(windows_of(text_of(), width, max_slots)))
+    windows = docs.select("doc_id", *text_key, F.inline(windows_of(text_of(), width, max_slots, exact=not strict)))
     hits = windows.join(F.broadcast(items) if bounded else items, "h").withColumn("shift", F.col("pos") - F.col("b_pos"))
     found = _all_or_nothing(hits) if strict else _judged(hits)
     sizes = sizes.withColumnRenamed("item_id", "sized_item")

@@ -27,3 +27,13 @@ def test_one_conflicting_value_costs_only_its_windows(spark, limit):
     assert got[4, 1].matched == got[5, 1].matched == got[5, 1].item_windows
     assert got[1, 1].matched >= 0.5 * got[1, 1].item_windows
     assert [got[k].verbatim for k in sorted(got)] == [False, False, False, False, True]
+
+
+def test_windows_of_many_slots_match_word_for_word(spark):
+    numbers = "12 + 7 * 3 - 4 / 2 + 19 - 5 * 8 + 6 - 11 * 2 + 9 - 14"
+    german = "Der Bauer bringt Äpfel, Birnen, Pflaumen, Kirschen, Nüsse, Trauben, Beeren, Quitten zum Markt am Fluss."
+    items = [(1, numbers), (2, german)]
+    docs = [(1, "So: " + numbers + " and so on"), (2, german), (3, numbers.replace("12", "13").replace("19", "18").replace("8 +", "1 +"))]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2)}
+    assert got[1, 1].matched == got[1, 1].item_windows == 6 and got[2, 2].matched == got[2, 2].item_windows == 8
