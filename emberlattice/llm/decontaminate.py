@@ -68,8 +68,26 @@ def windows_of(text: Column, width: int, max_slots: int, exact: bool = False) ->
     return let(canonical(text), lambda line: F.when(line.contains(MARK), with_slots(line)).otherwise(let(split(line), lambda t: hashed(t))))
 
 
+def whole_of(text: Column, widths: list[int], parts: bool) -> Column:
+    """Array of (pos, h, slots) by words alone: runs of each of ``widths`` words, or the text itself if it has one of these lengths."""
+    empty = F.array().cast("array<string>")
+
+    def run(words, i, width):
+        return F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i, width)).alias("h"), empty.alias("slots"))
+
+    def runs(words, width):
+        size = F.size(words)
+        places = F.sequence(F.lit(1), size - (width - 1)) if parts else F.array(F.lit(1))
+        none = F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
+        return F.when(size >= width if parts else size == width, F.transform(places, lambda i: run(words, i, width))).otherwise(none)
+
+    line = F.regexp_replace(canonical(text), f"{MARK}[dun]", "")
+    return let(F.array_remove(F.split(line, " "), ""), lambda words: F.concat(*[runs(words, w) for w in widths]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int = 3, min_share: float = 0.5,
-          min_windows: int = 24, broadcast_rows: int = 500_000, strict: bool = True) -> DataFrame:
+          min_windows: int = 24, broadcast_rows: int = 500_000, strict: bool = True,
+          run_words: int = 13) -> DataFrame:
     """Pairs (doc_id, item_id) of documents that hold a benchmark item: matched, item_windows, verbatim.
 
     Template windows of both sides meet by their hash. Along one alignment (a constant shift between the
@@ -77,25 +95,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int
     ``strict`` an inconsistent alignment counts nothing, and windows of more than ``max_slots`` slots are no
     windows. Without, only the windows that break the rule do not count (see ``_judged``), and windows of
     many slots meet by their words. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
-    them, match. verbatim tells that every slot kept its value.
+    them, match; without ``strict`` also if a document holds ``run_words`` of its words in a row, unchanged.
+    verbatim tells that every slot kept its value.
 
     Null text counts as empty; null ids are an id. Rows with one doc_id are one document. Items shorter
-    than ``width`` words cannot be told from common phrases and match nothing. Other columns are ignored,
+    than ``width`` words match nothing if ``strict``; else they are one window of their whole length, met by
+    its words (an item of one or two words wherever these stand). Items without a word match nothing. Other columns are ignored,
     so their names may clash. The benchmark's windows are broadcast only if counted to be at most
     ``broadcast_rows``; else both sides shuffle by hash.
     """
-    items = benchmark.select(F.col("item_id"), F.inline(windows_of(text_of(), width, max_slots, exact=not strict)))
+    of_item = of_doc = windows_of(text_of(), width, max_slots, exact=not strict)
+    if not strict:
+        of_item = F.concat(of_item, whole_of(text_of(), list(range(1, width)), parts=False))
+        lengths = benchmark.select(F.size(F.array_remove(F.split(canonical(text_of()), " "), "")).alias("n"))
+        short = sorted(r["n"] for r in lengths.where(F.col("n").between(1, width - 1)).distinct().collect())
+        of_doc = F.concat(of_doc, whole_of(text_of(), short, parts=True)) if short else of_doc
+    items = benchmark.select(F.col("item_id"), F.inline(of_item))
     items = items.withColumnsRenamed({"pos": "b_pos", "slots": "b_slots"})
     items = store(items.dropDuplicates(["item_id", "b_pos", "h", "b_slots"]))
     sizes = items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"))
     bounded = items.count() <= broadcast_rows
     text_key = [] if strict else [F.xxhash64(text_of()).alias("text_key")]
-    windows = docs.select("doc_id", *text_key, F.inline(windows_of(text_of(), width, max_slots, exact=not strict)))
+    windows = docs.select("doc_id", *text_key, F.inline(of_doc))
     hits = windows.join(F.broadcast(items) if bounded else items, "h").withColumn("shift", F.col("pos") - F.col("b_pos"))
-    found = _all_or_nothing(hits) if strict else _judged(hits)
+    found = _all_or_nothing(hits) if strict else _judged(hits, max(run_words - width + 1, 1))
     sizes = sizes.withColumnRenamed("item_id", "sized_item")
     joined = found.join(F.broadcast(sizes) if bounded else sizes, F.col("item_id").eqNullSafe(F.col("sized_item")))
     enough = (F.col("matched") >= min_share * F.col("item_windows")) | (F.col("matched") >= min_windows)
+    if not strict:
+        enough = enough | F.col("long_run")
     return joined.where(enough).select("doc_id", "item_id", "matched", "item_windows", "verbatim")
 
 
@@ -112,8 +140,10 @@ def _all_or_nothing(hits: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("matched"), F.every("same").alias("verbatim"))
 
 
-def _judged(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, verbatim), each window judged by itself.
+def _judged(hits: DataFrame, run: int) -> DataFrame:
+    """(doc_id, item_id, matched, verbatim, long_run), each window judged by itself.
+
+    long_run tells that ``run`` windows in a row are unchanged along one alignment.
 
     Windows without slots or with unchanged values always count. Another window counts if each of its
     benchmark values stands for the document value that most windows of the alignment give it (ties: the
@@ -127,13 +157,18 @@ def _judged(hits: DataFrame) -> DataFrame:
     votes = rows.withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy(*line, "b", "d")))
     best = F.max(F.struct("votes", (F.col("b") == F.col("d")).alias("kept"), "d")).over(Window.partitionBy(*line, "b"))
     fits = votes.withColumn("fits", F.col("exact") | (best["d"] == F.col("d")))
-    judged = fits.groupBy(*line, "b_pos", "slots", "exact").agg(F.every("fits").alias("counts"), F.every("exact").alias("same"))
+    judged = fits.groupBy(*line, "b_pos", "slots", "exact").agg(F.every("fits").alias("counts"))
     lines = judged.groupBy(*line).agg(
-        F.collect_set(F.when(F.col("counts"), F.col("b_pos"))).alias("places"), F.every("same").alias("same"))
-    lines = lines.where(F.size("places") > 0)
+        F.collect_set(F.when(F.col("counts"), F.col("b_pos"))).alias("places"),
+        F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("b_pos")))).alias("kept"), F.every("exact").alias("same"))
+    # In sorted distinct places, the place run - 1 further on is run - 1 higher only if none between is missing.
+    starts = F.sequence(F.lit(1), F.size("kept") - (run - 1))
+    unbroken = F.exists(starts, lambda i: F.element_at("kept", i + (run - 1)) - F.element_at("kept", i) == run - 1)
+    lines = lines.where(F.size("places") > 0).withColumn("long_run", F.when(F.size("kept") >= run, unbroken).otherwise(False))
     places = F.transform("places", lambda p: F.struct(F.col("shift"), p.alias("pos")))
     return lines.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long").alias("matched"), F.every("same").alias("verbatim"))
+        F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long").alias("matched"), F.every("same").alias("verbatim"),
+        F.some("long_run").alias("long_run"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -37,3 +37,15 @@ def test_windows_of_many_slots_match_word_for_word(spark):
     got = leaks(spark, docs, items)
     assert set(got) == {(1, 1), (2, 2)}
     assert got[1, 1].matched == got[1, 1].item_windows == 6 and got[2, 2].matched == got[2, 2].item_windows == 8
+
+
+def test_short_items_and_long_passages(spark):
+    words = TOM.split()
+    docs = [(1, "Quiz: what is the capital of France? Nobody knew."), (2, "What is the capital of Peru?"), (3, "yes 12 Grams"),
+            (4, "A start. " + " ".join(words[:28]) + " another end"), (5, " ".join(words[32:45]) + " or so"), (6, " ".join(words[32:44]) + " or so"),
+            (7, None)]
+    for limit in (500_000, 0):
+        got = leaks(spark, docs, [(1, "What is the capital of France?"), (2, "12 grams"), (3, TOM), (4, None), (5, "?!")], broadcast_rows=limit)
+        assert set(got) == {(1, 1), (3, 2), (4, 3), (5, 3)}
+        assert got[1, 1].matched == got[1, 1].item_windows == 1
+        assert got[4, 3].matched == 22 and got[5, 3].matched == 6
