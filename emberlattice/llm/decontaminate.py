@@ -14,6 +14,13 @@ UNITS = ("mm cm m km mg g kg ml l s min h ms inch inches feet ft miles mile poun
 NAMES = ("Alice Bob Carol David Emma Frank Grace Henry Anna Tom John Mary James Sarah Peter Maria Michael Laura Sam Lisa Jack Julia "
          "Daniel Emily Mark Olivia Paul Sophie Max Natalia Weng Betty Ken Joy Randy Albert Tina Toula").split()
 MARK = "\x01"
+BLANKS = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def evened(text: Column) -> Column:
+    """Runs of white space as one space, and a space before a unit of any case, so line wrap and case leave the words as they are."""
+    spaced = F.regexp_replace(text, rf"(?:[{BLANKS}&&[^ ]]| (?=[{BLANKS}]))[{BLANKS}]*", " ")
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, rf"([0-9])(?=(?i:{'|'.join(UNITS)})\b)", "$1 ")).otherwise(spaced)
 
 
 def canonical(text: Column) -> Column:
@@ -36,8 +43,9 @@ def canonical(text: Column) -> Column:
 def windows_of(text: Column, width: int, max_slots: int, exact: bool = False) -> Column:
     """Array of (pos, h, slots): each window's template hash and its slot values in order.
 
-    Windows with more than ``max_slots`` slots say too little as templates and are left out; with ``exact``
-    they get the hash of their words instead, without slots, so that only an equal window meets them.
+    Windows with more than ``max_slots`` slots say too little as templates and are left out. With ``exact``
+    every window with slots has a second row, the hash of its words without slots, so that an equal window
+    meets it whatever is typed as a slot there: capital letters decide what is a name.
     """
     empty = F.array().cast("array<string>")
 
@@ -63,7 +71,8 @@ def windows_of(text: Column, width: int, max_slots: int, exact: bool = False) ->
         few = lambda r: F.size(r["slots"]) <= max_slots
         if not exact:
             return F.filter(rows, few)
-        return let(rows, lambda all_rows: F.concat(F.filter(all_rows, few), by_words(F.filter(all_rows, lambda r: ~few(r)), line)))
+        return let(rows, lambda all_rows: F.concat(
+            F.filter(all_rows, few), by_words(F.filter(all_rows, lambda r: F.size(r["slots"]) > 0), line)))
 
     return let(canonical(text), lambda line: F.when(line.contains(MARK), with_slots(line)).otherwise(let(split(line), lambda t: hashed(t))))
 
@@ -94,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int
     two texts) the slots must be consistent: equal benchmark values stand for equal document values. With
     ``strict`` an inconsistent alignment counts nothing, and windows of more than ``max_slots`` slots are no
     windows. Without, only the windows that break the rule do not count (see ``_judged``), and windows of
-    many slots meet by their words. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
+    slots meet by their words too, whatever their case and line wrap. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
     them, match; without ``strict`` also if a document holds ``run_words`` of its words in a row, unchanged.
     verbatim tells that every slot kept its value.
 
@@ -104,12 +113,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int
     so their names may clash. The benchmark's windows are broadcast only if counted to be at most
     ``broadcast_rows``; else both sides shuffle by hash.
     """
-    of_item = of_doc = windows_of(text_of(), width, max_slots, exact=not strict)
+    text = text_of() if strict else evened(text_of())
+    of_item = of_doc = windows_of(text, width, max_slots, exact=not strict)
     if not strict:
-        of_item = F.concat(of_item, whole_of(text_of(), list(range(1, width)), parts=False))
-        lengths = benchmark.select(F.size(F.array_remove(F.split(canonical(text_of()), " "), "")).alias("n"))
+        of_item = F.concat(of_item, whole_of(text, list(range(1, width)), parts=False))
+        lengths = benchmark.select(F.size(F.array_remove(F.split(canonical(text), " "), "")).alias("n"))
         short = sorted(r["n"] for r in lengths.where(F.col("n").between(1, width - 1)).distinct().collect())
-        of_doc = F.concat(of_doc, whole_of(text_of(), short, parts=True)) if short else of_doc
+        of_doc = F.concat(of_doc, whole_of(text, short, parts=True)) if short else of_doc
     items = benchmark.select(F.col("item_id"), F.inline(of_item))
     items = items.withColumnsRenamed({"pos": "b_pos", "slots": "b_slots"})
     items = store(items.dropDuplicates(["item_id", "b_pos", "h", "b_slots"]))

@@ -1,5 +1,7 @@
 """The whole rule (``strict=False``), which the registered query and the pipeline use."""
 
+import textwrap
+
 import pytest
 
 from emberlattice.llm import decontaminate as D
@@ -49,3 +51,14 @@ def test_short_items_and_long_passages(spark):
         assert set(got) == {(1, 1), (3, 2), (4, 3), (5, 3)}
         assert got[1, 1].matched == got[1, 1].item_windows == 1
         assert got[4, 3].matched == 22 and got[5, 3].matched == 6
+
+
+def test_case_and_line_wrap_do_not_matter(spark):
+    units = "A rope of 48cm and a bag of 3KG lie beside the old door of the mill since May"
+    items = [(1, ITEM), (2, GERMAN), (3, TOM), (4, units)]
+    forms = [str.upper, str.lower, str.swapcase, lambda t: textwrap.fill(t, 40), lambda t: textwrap.fill(t, 60).replace("\n", "\r\n"),
+             lambda t: t.replace(" ", "  \t"), lambda t: t.replace(" ", "\u00a0")]
+    docs = [(10 * i + n, "Before. " + form(t) + " After.") for i, t in items for n, form in enumerate(forms)]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(d, d // 10) for d, _ in docs}
+    assert all(r.matched >= r.item_windows for r in got.values())
