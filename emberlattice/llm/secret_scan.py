@@ -20,13 +20,15 @@ CLASSES = (
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
 )
 # Candidates that are no secrets whatever their entropy: UUIDs, slugs and paths of words, one case
-# of letters without digits, repeated examples.
+# of letters without digits, repeated examples. An example word speaks only for its path segment: the
+# last pattern takes a candidate if every segment holds one or is harmless by the other rules.
+EXAMPLE = r"(?i:example|placeholder|xxxx|abcdef0?123|0123456789abcdef)"
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]?[a-z]*([-_/][A-Za-z]?[a-z]*)*$",
-    r"^[^0-9]*$",
+    r"^(?:[^0-9A-Z]*|[^0-9a-z]*)$",
     r"^[^A-Za-z]*$",
-    r"(?i)example|placeholder|xxxx|abcdef0?123|0123456789abcdef",
+    rf"^(?=.*{EXAMPLE})(?!(?:.*/)?(?![^/]*{EXAMPLE}|(?:[A-Za-z]?[a-z]*(?:[-_][A-Za-z]?[a-z]*)*|[^0-9A-Z/]*|[^0-9a-z/]*|[^A-Za-z/]*)(?:/|$))[^/]+)",
 )
 
 

@@ -90,3 +90,13 @@ def test_entropy_range_other_widths(spark, width):
         good = [i for i in range(len(t) - width + 1) if set(t[i:i + width]) <= set(alphabet)
                 and -sum(c / width * math.log2(c / width) for c in Counter(t[i:i + width]).values()) >= bits - 1e-12]
         assert got[t] == ((good[0], good[-1] + width) if good else (None, None)), t
+
+
+def test_allow_list_keeps_to_one_case_and_to_the_segment(spark):
+    letters, key = "qWeRtYuIoPaSdFgHjKlZxCvBnM", "k7Qz9TfW2mXc4RbN8vLs3HjD"
+    secret = [letters, f"example/services/{key}", f"{key}/example-of-use", f"placeholder/{letters}"]
+    harmless = [letters.lower(), letters.upper(), f"example/services/{key}example", "docs/example/Some-Page/of-this-or-that", f"{key}EXAMPLE", "xxxx/1234/" + letters.lower()]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret + harmless)], "doc_id long, text string")
+    found = {r.doc_id for r in S.op6_secret_scans(docs).collect() if "entropy" in r.spans}
+    assert found == set(range(len(secret)))
+    assert all(key not in r.text and letters not in r.text for r in S.redact_secrets(docs).where("doc_id < 4").collect())
