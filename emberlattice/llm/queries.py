@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlattice.llm import chat_format, decontaminate, fim, host_rules, mixing, ngram_join, pii, quality_model, runs, secret_scan, suffix_dedup, url_filter
+from emberlattice.llm import bpe, chat_format, decontaminate, fim, host_rules, mixing, ngram_join, pii, quality_model, runs, secret_scan, suffix_dedup, url_filter
 from emberlattice.llm.common import table
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_leaks": over(decontaminate.op8_benchmark_leaks, "documents", "benchmark"),
     "op9_ngram_join": over(ngram_join.op9_ngram_join, "documents"),
     "op10_quality_classifier": over(quality_model.op10_quality_classifier, "documents", "labels"),
+    "op11_shared_chunk_bpe": over(bpe.op11_shared_chunk_bpe, "documents"),
     "op12_periodic_runs": over(runs.op12_periodic_runs, "documents"),
     "op13_fill_in_middle": over(fim.op13_fill_in_middle, "documents"),
 }
