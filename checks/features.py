@@ -9,7 +9,10 @@ from emberlattice.operators import learn as N
 from emberlattice.operators.aggregate import downsample
 from emberlattice.operators.metrics import best_row
 from emberlattice.operators.order_stats import quantiles
+from emberlattice.operators.lattice import lattice_spec
 from emberlattice.operators.spatial import nearest_join
+from emberlattice.operators.stencil import stencil_features
+from emberlattice.operators.trees import node_table, score_nodes
 from emberlattice.plans import closure, downscale
 from emberlattice.session import materialise
 from emberlattice.sources import derived as D
@@ -227,8 +230,7 @@ def cv_sql(x: str) -> str:
 
 
 def cross_validate(spark, sf, x):
-    rows = materialise(N.fold_column(table(spark, sf, [x]), N.row_order()))
-    return N.cv_r2(rows, N.fit_ridge)
+    return N.cv_r2_ridge(N.fold_column(table(spark, sf, [x]), N.row_order()), 1)
 
 
 @check("M12_cv_r2", build(cv_sql("dewpoint"), G, [("fd", _FOLD)]), ["cv_r2", "cv_std"])
@@ -236,6 +238,18 @@ def _(spark, sf):
     return cross_validate(spark, sf, "dewpoint")
 
 
+_TWO_FOLDS = (
+    "SELECT f.fold, 1-sum(pow(fwi-my-b1*(temperature_max-mx)-b2*(dewpoint-mz), 2))/(var_pop(fwi)*count(*)) AS r2 FROM fd f JOIN ("
+    + _TWO.replace("FROM grid_daily)", "FROM fd JOIN (SELECT DISTINCT fold AS held FROM fd) ON fold<>held GROUP BY held)").replace(
+        "SELECT var_pop", "SELECT held, var_pop") + ") t ON f.fold=t.held GROUP BY f.fold")
+
+
+@check("M12_cv_r2_two_features", build(
+    f"SELECT avg(r2) AS cv_r2, stddev_pop(r2) AS cv_std, count(r2) AS n_folds FROM ({_TWO_FOLDS})", G, [("fd", _FOLD)]), ["cv_r2", "cv_std"])
+def _(spark, sf):
+    return N.cv_r2_ridge(N.fold_column(table(spark, sf, ["temperature_max", "dewpoint"]), N.row_order()), 2)
+
+
 @check("M14_best_model", build(
     f"SELECT model, cv_r2 FROM (SELECT 'dewpoint' AS model, * FROM ({cv_sql('dewpoint')}) UNION ALL SELECT 'temperature', * FROM ({cv_sql('temperature_max')})) ORDER BY cv_r2 DESC, model LIMIT 1", G, [("fd", _FOLD)]), ["cv_r2"])
 def _(spark, sf):
@@ -286,18 +300,33 @@ def _(spark, sf):
     return _predicted(spark, sf, 0.09, 0.12)
 
 
-def _predicted(spark, sf, dlat, dlon):
+def _predicted(spark, sf, dlat, dlon, source_step=None):
     g = D.grid_daily(spark, sf)
     pairs = materialise(E.training_pairs(g, ["fwi"], 0.5, include_target=True))
     model = N.fit_ridge(N.assemble(pairs.select("coarse_fwi", "fine_fwi"), ["coarse_fwi"], "fine_fwi"))
-    return N.predict_fine(g, model, ["coarse_fwi"], ["fwi"], dlat, dlon)
+    return N.predict_fine(g, model, ["coarse_fwi"], ["fwi"], dlat, dlon, source_step=source_step)
+
 
+# The lattice of 0.009 x 0.012 degrees, joined with the source by cells of 0.3 degrees.
+_LAT1 = ("lt", _LAT[1].replace("900", "90").replace("1200", "120"))
+_CELLS = [("sc", "SELECT *, floor(y/3000)+a AS cy, floor(x/3000)+b AS cx FROM gr, (SELECT unnest([-1,0,1]) AS a), (SELECT unnest([-1,0,1]) AS b)"),
+          ("ps", "SELECT l.date, l.y AS ly, l.x AS lx, s.* EXCLUDE (date, y, x, a, b, cy, cx), s.y AS ry, s.x AS rx, (l.y-s.y)*(l.y-s.y)+(l.x-s.x)*(l.x-s.x) AS d2 FROM lt l JOIN sc s"
+           " ON l.date=s.date AND floor(l.y/3000)=s.cy AND floor(l.x/3000)=s.cx WHERE (l.y-s.y)*(l.y-s.y)+(l.x-s.x)*(l.x-s.x)<=9000000"),
+          ("lo", "SELECT * FROM lt l WHERE NOT EXISTS (SELECT 1 FROM sc s WHERE l.date=s.date AND floor(l.y/3000)=s.cy AND floor(l.x/3000)=s.cx AND (l.y-s.y)*(l.y-s.y)+(l.x-s.x)*(l.x-s.x)<=9000000)"),
+          ("pl", "SELECT * FROM ps UNION ALL SELECT * EXCLUDE (k) FROM (SELECT l.date, l.y AS ly, l.x AS lx, s.* EXCLUDE (date, y, x), s.y AS ry, s.x AS rx, (l.y-s.y)*(l.y-s.y)+(l.x-s.x)*(l.x-s.x) AS d2,"
+           " row_number() OVER (PARTITION BY l.date, l.y, l.x ORDER BY (l.y-s.y)*(l.y-s.y)+(l.x-s.x)*(l.x-s.x), s.y, s.x) AS k FROM lo l JOIN gr s ON l.date=s.date) WHERE k=1")]
+_FINE1 = [("spec", _SPEC), _LAT1, ("gr", _xy("grid_daily", "date, fwi")), *_CELLS]
 
-@check("M15_predict_fine_1km", None)
+
+@check("M15_predict_fine_1km", build(
+    "SELECT date, count(*) AS n, min(fwi_predicted) AS low, max(fwi_predicted) AS high, avg(fwi_predicted) AS mean, stddev_pop(fwi_predicted)/sqrt(any_value(g.n)) AS prediction_uncertainty"
+    " FROM pd JOIN (SELECT date, count(*) AS n FROM grid_daily GROUP BY 1) g USING (date) GROUP BY date", G,
+    [*node_steps(["fwi"]), _GL, ("pr", pairs_sql("gl", "nd", ["fwi"], 7500)), ("cf", coarse_sql(["fwi"], "nearest")), _RIDGE1, *_FINE1, _PRED]),
+    ["low", "high", "mean", "prediction_uncertainty"])
 def _(spark, sf):
-    """The same at the 0.009 x 0.012 degree lattice, summed up by day; a brute-force SQL is too slow there."""
+    """The same at the 0.009 x 0.012 degree lattice, features by stencil kernels, summed up by day."""
     p = F.col("fwi_predicted")
-    return _predicted(spark, sf, 0.009, 0.012).groupBy("date").agg(
+    return _predicted(spark, sf, 0.009, 0.012, 0.25).groupBy("date").agg(
         F.count(F.lit(1)).alias("n"), F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean"),
         F.max("prediction_uncertainty").alias("prediction_uncertainty"))
 
@@ -308,33 +337,113 @@ def _(spark, sf):
     return downscale.downscale(D.grid_daily(spark, sf), ["fwi", "temperature_max", "dewpoint"], "ridge", dlat=0.18, dlon=0.24)
 
 
-def _contract(model, rows):
-    """Rows scored, whether all predictions lie near the labels' range, and whether the fit explains them."""
-    scored = model.transform(rows)
-    span = F.max("label") - F.min("label")
-    inside = (F.min("prediction") >= F.min("label") - 0.1 * span) & (F.max("prediction") <= F.max("label") + 0.1 * span)
-    fit = 1 - F.sum(F.pow(F.col("label") - F.col("prediction"), F.lit(2))) / (F.var_pop("label") * F.count("label"))
-    total = sum(model.featureImportances.toArray())
-    return scored.agg(F.count(F.lit(1)).alias("n"), inside.alias("inside"), (fit > 0.1).alias("fits"),
-                      F.lit(abs(total - 1) < 1e-6).alias("importances_sum_to_one"))
+_FEATURES3 = [f"coarse_{m}{s}" for m in ("fwi", "temperature_max", "dewpoint") for s in ("", "_mean", "_std")] + ["coarse_distance", "coarse_lat", "coarse_lon"]
+_STATS3 = ", ".join(
+    f"sum({m}*w)/sum(w) AS coarse_{m}, CASE WHEN count(*)>2 THEN avg({m}) END AS coarse_{m}_mean, CASE WHEN count(*)>2 THEN stddev_samp({m}) END AS coarse_{m}_std"
+    for m in ("fwi", "temperature_max", "dewpoint"))
+
+
+@check("M15_stencil_features", build(
+    idw_sql(_IM, "pl", "sl"), G, [("spec", _SPEC), _LAT, _GR, ("pl", pairs_sql("lt", "gr", _IM, 3000)), ("sl", slopes_sql("pl", "fwi", "g"))]), _IDW)
+def _(spark, sf):
+    """Every feature of a 0.09 x 0.12 degree lattice from stencil kernels, node by node."""
+    g = D.grid_daily(spark, sf)
+    return stencil_features(lattice_spec(g, 0.09, 0.12, ["date"]), g, _IM)
+
+
+@check("M15_stencil_features_1km", build(
+    "SELECT date, count(*) AS n, " + ", ".join(f"avg({c}) AS {c}, count({c}) AS n_{c}" for c in _FEATURES3) + f" FROM (SELECT date, {_STATS3}, sqrt(min(d2))/10000 AS coarse_distance, avg(ry)/10000 AS coarse_lat,"
+    " avg(rx)/10000 AS coarse_lon FROM (SELECT *, 1/(sqrt(d2)/10000+0.001) AS w FROM pl) GROUP BY date, ly, lx) GROUP BY date", G,
+    [("spec", _SPEC), _LAT1, ("gr", _xy("grid_daily", "date, fwi, temperature_max, dewpoint")), *_CELLS]), _FEATURES3)
+def _(spark, sf):
+    """The features that models take, of the 0.009 x 0.012 degree lattice of every day, as means and counts by day."""
+    g = D.grid_daily(spark, sf)
+    rows = stencil_features(lattice_spec(g, 0.009, 0.012, ["date"]), g, ["fwi", "temperature_max", "dewpoint"], gradient_of=None)
+    return rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(p + c) for c in _FEATURES3 for f, p in ((F.avg, ""), (F.count, "n_"))])
+
+
+_PAIRS1 = [*node_steps(["fwi"]), _GL, ("pr", pairs_sql("gl", "nd", ["fwi"], 7500)), ("cf", coarse_sql(["fwi"], "nearest")),
+           ("tp", "SELECT * FROM (SELECT g.date, g.latitude, g.longitude, g.fwi, cf.coarse_fwi AS dewpoint FROM grid_daily g JOIN cf ON g.date=cf.date AND g.latitude=cf.target_lat AND g.longitude=cf.target_lon)"
+            f" WHERE CAST('0x' || substr({DIGEST}, 1, 8) AS BIGINT) % 10000 >= 2000"),
+           ("fd", _FOLD.replace("grid_daily", "tp"))]
 
 
-_CONTRACT = "SELECT count(*) AS n, TRUE AS inside, TRUE AS fits, TRUE AS importances_sum_to_one FROM grid_daily"
+@check("M14_select_model", build(
+    "SELECT CASE WHEN r.cv_r2 > c.cv_r2 THEN 'ridge' ELSE 'constant' END AS model, greatest(r.cv_r2, c.cv_r2) AS cv_r2, r.cv_r2 AS ridge_cv_r2, c.cv_r2 AS constant_cv_r2, c.n_folds FROM ("
+    + cv_sql("dewpoint") + ") r, (SELECT avg(r2) AS cv_r2, count(r2) AS n_folds FROM (SELECT f.fold, 1-sum(pow(fwi-my, 2))/(var_pop(fwi)*count(*)) AS r2 FROM fd f JOIN ("
+    "SELECT k.fold, avg(fwi) AS my FROM fd JOIN (SELECT DISTINCT fold FROM fd) k ON fd.fold<>k.fold GROUP BY k.fold) t ON f.fold=t.fold GROUP BY f.fold)) c", G, _PAIRS1),
+    ["cv_r2", "ridge_cv_r2", "constant_cv_r2"])
+def _(spark, sf):
+    """Ridge on the coarse mean against the labels' mean, on the 80 % part of the training pairs."""
+    pairs = E.training_pairs(D.grid_daily(spark, sf), ["fwi"], 0.5, include_target=True)
+    best, _, scores = downscale.select_model(N.assemble(pairs, ["coarse_fwi"], "fine_fwi"), ("ridge", "constant"))
+    row = (best, scores[best]["cv_r2"], scores["ridge"]["cv_r2"], scores["constant"]["cv_r2"], scores["constant"]["n_folds"])
+    return spark.createDataFrame([row], "model string, cv_r2 double, ridge_cv_r2 double, constant_cv_r2 double, n_folds bigint")
 
 
-@check("M09_fit_gbt", build(_CONTRACT, G))
+@check("M14_downscale_best", None)
 def _(spark, sf):
-    rows = materialise(table(spark, sf, ["temperature_max", "dewpoint", "latitude", "longitude"]))
-    return _contract(N.fit_gbt(rows.select("features", "label")), rows)
+    """The better of ridge and constant, all features, at the 0.009 x 0.012 degree lattice, summed up by day."""
+    fine = downscale.downscale_best(D.grid_daily(spark, sf), ["fwi", "temperature_max"], names=("ridge", "constant"), source_step=0.25)
+    return fine.groupBy("date", "prediction_method", "model_cv_score").agg(F.count(F.lit(1)).alias("n"), F.avg("fwi_predicted").alias("mean"))
+
+
+def tree_steps(name: str, src: str, depth: int, least: int) -> list[tuple[str, str]]:
+    """A regression tree on latitude and longitude over ``src`` (date, latitude, longitude, y): (..., p) as ``name``.
+
+    Each level splits every node at the value that lowers the squared error most; rows up to it go left.
+    """
+    steps = [(f"{name}_0", f"SELECT *, 0 AS node FROM {src}")]
+    for k in range(depth):
+        n = f"{name}_{k}"
+        steps += [
+            (f"{n}_u", f"SELECT node, f, v, count(*) AS c, sum(y) AS s FROM (SELECT node, 0 AS f, latitude AS v, y FROM {n} UNION ALL SELECT node, 1, longitude, y FROM {n}) GROUP BY 1,2,3"),
+            (f"{n}_w", f"SELECT node, f, v, sum(c) OVER w AS cl, sum(s) OVER w AS sl, sum(c) OVER (PARTITION BY node, f) AS c, sum(s) OVER (PARTITION BY node, f) AS s FROM {n}_u WINDOW w AS (PARTITION BY node, f ORDER BY v)"),
+            (f"{n}_b", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY sl*sl/cl+(s-sl)*(s-sl)/(c-cl) DESC, f, v) AS k FROM {n}_w WHERE cl>={least} AND c-cl>={least}) WHERE k=1"),
+            (f"{name}_{k + 1}", f"SELECT r.date, r.latitude, r.longitude, r.y, CASE WHEN b.v IS NULL THEN 2*r.node+1 WHEN CASE WHEN b.f=0 THEN r.latitude ELSE r.longitude END <= b.v THEN 2*r.node+1 ELSE 2*r.node+2 END AS node"
+             f" FROM {n} r LEFT JOIN {n}_b b ON r.node=b.node"),
+        ]
+    return [*steps, (name, f"SELECT *, avg(y) OVER (PARTITION BY node) AS p FROM {name}_{depth}")]
+
+
+_LABELS = ("y0", "SELECT date, latitude, longitude, fwi AS y FROM grid_daily")
+_BOOSTED = [_LABELS, *tree_steps("t0", "y0", 3, 1), ("f0", "SELECT date, latitude, longitude, p AS f FROM t0")]
+for _k in (1, 2):
+    # Squared error: the next tree learns twice the residual and counts a tenth.
+    _BOOSTED += [(f"y{_k}", f"SELECT date, latitude, longitude, 2*(y0.y-f) AS y FROM y0 JOIN f{_k - 1} USING (date, latitude, longitude)"), *tree_steps(f"t{_k}", f"y{_k}", 3, 1),
+                 (f"f{_k}", f"SELECT date, latitude, longitude, f+0.1*p AS f FROM f{_k - 1} JOIN t{_k} USING (date, latitude, longitude)")]
 
 
-@check("M10_fit_forest", build(_CONTRACT, G))
+def _walked(spark, sf, fit, depth):
+    """Predictions of a model on latitude and longitude by walking its node table."""
+    rows = materialise(table(spark, sf, ["latitude", "longitude"]))
+    return score_nodes(rows, node_table(fit(rows.select("features", "label")), spark), ["latitude", "longitude"], KEYS, depth)
+
+
+@check("M09_fit_gbt", build("SELECT date, latitude, longitude, f AS prediction FROM f2", G, _BOOSTED), ["prediction"])
 def _(spark, sf):
-    rows = materialise(table(spark, sf, ["temperature_max", "dewpoint", "latitude", "longitude"]))
-    return _contract(N.fit_forest(rows.select("features", "label")), rows)
+    """Three boosted trees over all rows; the SQL grows the same trees."""
+    return _walked(spark, sf, lambda rows: N.fit_gbt(rows, trees=3, depth=3, subsample=1.0), 3)
+
+
+@check("M10_fit_forest", build("SELECT date, latitude, longitude, p AS prediction FROM t0", G, [_LABELS, *tree_steps("t0", "y0", 4, 2)]), ["prediction"])
+def _(spark, sf):
+    """A forest whose trees all see every row; the SQL grows the same tree."""
+    return _walked(spark, sf, lambda rows: N.fit_forest(rows, trees=3, depth=4, bootstrap=False), 4)
+
+
+_SHIFTED = [
+    ("pl", f"SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr({DIGEST}, 1, 15) AS BIGINT), date, latitude, longitude)-1 AS place, count(*) OVER () AS total FROM grid_daily"),
+    ("tr", "SELECT feature, trial, 1+CAST('0x' || substr(md5(concat_ws('|', 'shift', feature, CAST(trial AS VARCHAR), '42')), 1, 15) AS BIGINT) % greatest(n-1, 1) AS shift FROM"
+     " (SELECT unnest(['temperature_max', 'dewpoint']) AS feature), (SELECT unnest(range(1, 6)) AS trial), (SELECT count(*) AS n FROM grid_daily)"),
+    ("mx", "SELECT feature, trial, a.fwi, CASE feature WHEN 'temperature_max' THEN b.temperature_max ELSE a.temperature_max END AS t, CASE feature WHEN 'dewpoint' THEN b.dewpoint ELSE a.dewpoint END AS d"
+     " FROM tr JOIN pl b ON true JOIN pl a ON a.place=(b.place-shift+a.total)%a.total"),
+]
 
 
-@check("M19_permutation_importance", None)
+@check("M19_permutation_importance", build(
+    f"SELECT feature, any_value(base)-avg(r2) AS importance FROM (SELECT feature, trial, 1-sum(pow(fwi-my-b1*(t-mx)-b2*(d-mz), 2))/(var_pop(fwi)*count(*)) AS r2 FROM mx, ({_TWO}) GROUP BY feature, trial),"
+    f" (SELECT 1-sum(pow(fwi-my-b1*(temperature_max-mx)-b2*(dewpoint-mz), 2))/(var_pop(fwi)*count(*)) AS base FROM grid_daily, ({_TWO})) GROUP BY feature", G, _SHIFTED), ["importance"])
 def _(spark, sf):
     cols = ["temperature_max", "dewpoint"]
     rows = table(spark, sf, cols)

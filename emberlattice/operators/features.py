@@ -92,15 +92,17 @@ def training_pairs(
     return fine.join(keyed, ["date", "_y", "_x"]).drop("_y", "_x")
 
 
-def _slope(value: str, axis: str, before: Column, after: Column) -> Column:
-    """Second-order difference on uneven spacing, one-sided at the ends, null on zero spacing."""
-    f, x = F.col(value), F.col(axis).cast("double")
-    hs, hd = x - before[axis], after[axis] - x
-    central = F.try_divide(
-        hs * hs * after["f"] + (hd * hd - hs * hs) * f - hd * hd * before["f"], hs * hd * (hd + hs)
-    )
-    backward = F.try_divide(f - before["f"], hs)
-    forward = F.try_divide(after["f"] - f, hd)
+def slope(here: tuple[Column, Column], before: Column, after: Column, at) -> Column:
+    """Second-order difference on uneven spacing, one-sided at the ends, null on zero spacing.
+
+    ``here`` is (value, place); ``at`` gives the same of a neighbour, which is null at the ends.
+    """
+    f, x = here
+    (fb, xb), (fa, xa) = at(before), at(after)
+    hs, hd = x - xb, xa - x
+    central = F.try_divide(hs * hs * fa + (hd * hd - hs * hs) * f - hd * hd * fb, hs * hd * (hd + hs))
+    backward = F.try_divide(f - fb, hs)
+    forward = F.try_divide(fa - f, hd)
     return (
         F.when(before.isNotNull() & after.isNotNull(), central)
         .when(before.isNotNull(), backward)
@@ -132,7 +134,8 @@ def with_gradients(
         for name, axis in (("lat", "ry"), ("lon", "rx")):
             before, after = F.col(f"_p_{m}_b"), F.col(f"_p_{m}_a")
             slopes[f"_g_{m}_{name}"] = F.when(
-                F.col(m).isNotNull(), _slope(m, axis, before, after) * F.lit(per_degree)
+                F.col(m).isNotNull(), slope((F.col(m), F.col(axis).cast("double")), before, after,
+                                            lambda p, axis=axis: (p["f"], p[axis])) * F.lit(per_degree)
             )
     return pairs.withColumns(points).withColumns(beside).withColumns(slopes).drop(*points, *beside)
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +21,7 @@ from emberlattice.operators.metrics import global_metrics
 from emberlattice.operators.order_stats import (
     column_lookup, column_quantiles, ranked_counts,
 )
+from emberlattice.operators.stencil import is_regular, stencil_features
 from emberlattice.session import written
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
@@ -65,10 +69,10 @@ def fit_gbt(train: DataFrame, trees: int = 100, depth: int = 6, rate: float = 0.
     ).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = 100, depth: int = 15, min_leaf: int = 2, seed: int = 42):
+def fit_forest(train: DataFrame, trees: int = 100, depth: int = 15, min_leaf: int = 2, seed: int = 42, bootstrap: bool = True):
     return RandomForestRegressor(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all",
-        seed=seed, **_params()
+        seed=seed, bootstrap=bootstrap, **_params()
     ).fit(train)
 
 
@@ -85,7 +89,13 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0):
     ).fit(train)
 
 
-FITTERS = {"gradient_boosting": fit_gbt, "random_forest": fit_forest, "ridge": fit_ridge}
+def fit_constant(train: DataFrame):
+    """The labels' mean, whatever the features: a ridge whose penalty leaves no slope."""
+    return fit_ridge(train, NO_SLOPE)
+
+
+NO_SLOPE = 1e18
+FITTERS = {"gradient_boosting": fit_gbt, "random_forest": fit_forest, "ridge": fit_ridge, "constant": fit_constant}
 
 
 def row_order(date: str = "date", lat: str = "latitude", lon: str = "longitude") -> Column:
@@ -143,6 +153,55 @@ def cv_r2(df: DataFrame, fit, fold: str = "fold", folds: int = 5) -> DataFrame:
     )
 
 
+def fold_moments(df: DataFrame, size: int, fold: str = "fold") -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(rows, means, co-moments) of features and label for each fold, in one aggregate over the rows.
+
+    Spark's covariances are merged around their means, so large offsets cancel nothing. One row of at most
+    (size + 1) * (size + 4) / 2 numbers comes back for each fold.
+    """
+    columns = [F.coalesce(F.get(vector_to_array(F.col(FEATURES)), F.lit(i)), F.lit(float("nan"))).alias(f"_{i}") for i in range(size)]
+    rows = df.select(fold, *columns, F.col(LABEL).alias(f"_{size}"))
+    pairs = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
+    per = rows.groupBy(fold).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"_{i}").alias(f"m{i}") for i in range(size + 1)],
+        *[F.covar_pop(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i, j in pairs]).orderBy(fold).collect()
+    out = []
+    for row in per:
+        moments = np.zeros((size + 1, size + 1))
+        for i, j in pairs:
+            moments[i, j] = moments[j, i] = row[f"c{i}_{j}"] * row["n"]
+        out.append((float(row["n"]), np.array([row[f"m{i}"] for i in range(size + 1)]), moments))
+    return out
+
+
+def _merged(a, b):
+    """Moments of two disjoint sets of rows together."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def cv_r2_ridge(df: DataFrame, size: int, alpha: float = 1.0, fold: str = "fold") -> DataFrame:
+    """``cv_r2`` of ``fit_ridge`` over ``size`` features without a refit: one pass over the rows.
+
+    The moments of the other folds, merged, give each fold's coefficients; its own moments give the held-out
+    error. A fold whose labels are all equal has no R2, as there; NaN and null features make the scores NaN.
+    """
+    parts = fold_moments(df, size, fold)
+    scores = []
+    for k, (n, mean, own) in enumerate(parts):
+        others = [p for j, p in enumerate(parts) if j != k]
+        if not others or own[size, size] == 0:
+            continue
+        _, centre, rest = reduce(_merged, others)
+        slope = np.linalg.solve(rest[:size, :size] + alpha * np.eye(size), rest[:size, size])
+        weights = np.append(-slope, 1.0)  # the residual as a combination of features and label
+        bias = float(weights @ (mean - centre))
+        scores.append(1.0 - (float(weights @ own @ weights) + n * bias * bias) / own[size, size])
+    found = [(float(np.mean(scores)), float(np.std(scores)), len(scores))] if scores else [(None, None, 0)]
+    return df.sparkSession.createDataFrame(found, "cv_r2 double, cv_std double, n_folds bigint")
+
+
 def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
     """(feature, importance): tree importances, else absolute coefficients. One row per feature."""
     vector = getattr(model, "featureImportances", None)
@@ -151,10 +210,18 @@ def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def hash_places(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Add _place (0.. in the order of a hash of the row) and _total; ties are told apart by the row."""
+def _number(digest: Column, digits: int = 15) -> Column:
+    """The first hex digits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+
+
+def hash_places(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """Add _place (0.. in the order of a digest of the keys) and _total; ties are told apart by the row.
+
+    Any engine can repeat the order: it goes by the MD5 of the keys as text.
+    """
     cols = df.columns
-    keyed = df.withColumn("_h", F.xxhash64(*cols, F.lit(seed)))
+    keyed = df.withColumn("_h", _number(row_digest(keys, seed)))
     tie = F.row_number().over(W.partitionBy("_h").orderBy(*cols)) - 1
     places = ranked_counts(keyed, "_h").select(F.col("value").alias("_h"), "before", F.col("total").alias("_total"))
     joined = keyed.withColumn("_tie", tie).join(places, "_h")
@@ -172,13 +239,13 @@ def permutation_importance(
     one prediction pass. No window or join holds more than one place of the order in a group.
     """
     used = df.select(*keys, *names, LABEL)
-    sample = written(hash_places(used if rows is None else sample_n(used, rows, keys, seed), seed))
+    sample = written(hash_places(used if rows is None else sample_n(used, rows, keys, seed), keys, seed))
     base = evaluate(model, assemble(sample, names)).select(F.col("r_squared").alias("base"))
     trials = sample.withColumn("feature", F.explode(F.array(*[F.lit(n) for n in names]))).withColumn(
         "trial", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
     )
-    trials = trials.withColumn("_shift", F.lit(1) + F.pmod(
-        F.xxhash64("feature", "trial", F.lit(seed)), F.greatest(F.col("_total") - 1, F.lit(1))))
+    draw = _number(F.md5(F.concat_ws("|", F.lit("shift"), "feature", F.col("trial").cast("string"), F.lit(str(seed)))))
+    trials = trials.withColumn("_shift", F.lit(1) + draw % F.greatest(F.col("_total") - 1, F.lit(1)))
     chosen = F.coalesce(*[F.when(F.col("feature") == n, F.col(n).cast("double")) for n in names])
     left = trials.withColumn("_k", F.col("_place"))
     right = trials.select(
@@ -211,15 +278,24 @@ def predict_fine(
     source: DataFrame, model, names: Sequence[str], measures: Sequence[str],
     dlat: float = 0.009, dlon: float = 0.012, cap: int | None = None,
     stats: DataFrame | None = None, minimum: int | None = None, radius: float = 0.3,
+    source_step: float | None = None,
 ) -> DataFrame:
     """Predict every node of each day's fine lattice, with uncertainty and quality score.
 
+    With ``source_step`` the source is a regular grid of that step, and features come from stencil kernels
+    instead of a radius join; a source that is not regular raises an error.
+
     Days with fewer than ``minimum`` source points are left out if asked. All days run in one job. The
     predictions are stored once; a day's deviation is a partial aggregate over them, joined back.
     """
     days = source if minimum is None else min_group_size(source, ["date"], minimum)
-    lattice = expand_lattice(lattice_spec(days, dlat, dlon, ["date"], cap), ["date"])
-    features = idw_features(lattice, days, measures, radius)
+    spec = lattice_spec(days, dlat, dlon, ["date"], cap)
+    if source_step is None:
+        features = idw_features(expand_lattice(spec, ["date"]), days, measures, radius)
+    elif is_regular(days, source_step):
+        features = stencil_features(spec, days, measures, radius, source_step, "fwi" if "fwi" in measures else None)
+    else:
+        raise ValueError(f"the source is no regular grid of {source_step} degrees")
     ready = fill_missing_features(features, names, days).withColumn(
         "quality_score", quality_score("coarse_distance")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 from emberlattice.operators.clean import impute_median, with_lineage
 from emberlattice.operators.features import training_pairs
 from emberlattice.operators.learn import (
-    FITTERS, assemble, cv_r2, evaluate_model, fold_column, predict_fine, robust_scale, row_order, scale_stats, split_rows,
+    FEATURES, FITTERS, NO_SLOPE, assemble, cv_r2, cv_r2_ridge, evaluate_model, fold_column, predict_fine, robust_scale,
+    row_order, scale_stats, split_rows,
 )
 from emberlattice.session import materialise, written
 
+MODELS = ("gradient_boosting", "random_forest", "ridge")
 KEYS = ["date", "fine_lat", "fine_lon"]
 
 
@@ -45,29 +48,35 @@ def train(table: DataFrame, name: str = "ridge", **params):
     return model, evaluate_model(model, fit_rows, test_rows)
 
 
-def select_model(table: DataFrame, names: Sequence[str] = tuple(FITTERS), params: Mapping[str, dict] | None = None, folds: int = 5):
+def select_model(table: DataFrame, names: Sequence[str] = MODELS, params: Mapping[str, dict] | None = None, folds: int = 5):
     """(name, model, scores by name): every regressor is trained on the 80 % part and cross-validated
-    there on contiguous folds; the highest mean R2 wins, then the first name."""
+    there on contiguous folds; the highest mean R2 wins, then the first name. Linear models are cross-validated
+    from the folds' moments, without refits."""
     fit_rows, test_rows = split_rows(table, KEYS)
     folded = written(fold_column(fit_rows, row_order("date", "fine_lat", "fine_lon"), folds))
     models, scores = {}, {}
     for name in names:
         options = (params or {}).get(name, {})
         models[name] = FITTERS[name](folded, **options)
-        held = cv_r2(folded, lambda rows, n=name, o=options: FITTERS[n](rows, **o), folds=folds).first()
+        if name in ("ridge", "constant"):
+            size = len(folded.select(FEATURES).first()[0]) if folded.head(1) else 0
+            held = cv_r2_ridge(folded, size, NO_SLOPE if name == "constant" else options.get("alpha", 1.0)).first()
+        else:
+            held = cv_r2(folded, lambda rows, n=name, o=options: FITTERS[n](rows, **o), folds=folds).first()
         scores[name] = {**held.asDict(), **evaluate_model(models[name], folded.drop("fold"), test_rows).first().asDict()}
-    best = max(sorted(names), key=lambda n: scores[n]["cv_r2"])
+    best = max(sorted(names), key=lambda n: -math.inf if scores[n]["cv_r2"] is None else scores[n]["cv_r2"])
     return best, models[best], scores
 
 
 def downscale_best(
     daily: DataFrame, measures: Sequence[str], step: float = 0.5, dlat: float = 0.009, dlon: float = 0.012,
-    target: str = "fwi", names: Sequence[str] = tuple(FITTERS), params: Mapping[str, dict] | None = None,
+    target: str = "fwi", names: Sequence[str] = MODELS, params: Mapping[str, dict] | None = None,
+    source_step: float | None = None,
 ) -> DataFrame:
     """Predict the fine lattice with the best of several regressors; adds method, resolutions and score."""
     table, features, stats = prepare_training(daily, measures, step, target, include_target=True)
     name, model, scores = select_model(written(table), names, params)
-    fine = predict_fine(daily, model, features, list(measures), dlat, dlon, stats=stats)
+    fine = predict_fine(daily, model, features, list(measures), dlat, dlon, stats=stats, source_step=source_step)
     now = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
     return with_lineage(fine, name, f"{step} degrees", f"{dlat} degrees", scores[name]["cv_r2"], now)
 
@@ -75,7 +84,7 @@ def downscale_best(
 def downscale(
     daily: DataFrame, measures: Sequence[str], model_name: str = "ridge", step: float = 0.5,
     dlat: float = 0.009, dlon: float = 0.012, cap: int | None = None, target: str = "fwi",
-    include_target: bool = True, **params,
+    include_target: bool = True, source_step: float | None = None, **params,
 ) -> DataFrame:
     """Fit one regressor on all training pairs and predict every day's fine lattice.
 
@@ -85,4 +94,4 @@ def downscale(
     table, names, stats = prepare_training(daily, measures, step, target, include_target)
     model = FITTERS[model_name](table, **params)
     inputs = [m for m in measures if include_target or m != target]
-    return predict_fine(daily, model, names, inputs, dlat, dlon, cap, stats)
+    return predict_fine(daily, model, names, inputs, dlat, dlon, cap, stats, source_step=source_step)
