@@ -67,9 +67,10 @@ def rule_failures() -> dict[str, Column]:
 def host_verdicts(counted: DataFrame, host: str = "host", max_rate: float = 0.5) -> DataFrame:
     """One row per host: host, host_kept, worst_rate.
 
-    For each rule the hosts' failure rates give a beta prior by the method of moments, hosts weighted by
-    documents; a host's rate is then (failures + a) / (documents + a + b). A host is kept if no shrunk
-    rate exceeds ``max_rate``. If all hosts have one rate, the prior is that rate with infinite weight.
+    For each rule the hosts' failure rates give a beta prior by the method of moments; a host's rate is then
+    (failures + a) / (documents + a + b). Small hosts differ by chance alone, so the binomial part of their spread is
+    taken off: between = (sum n(p-m)^2 - (hosts-1)m(1-m)) / (N - sum n^2/N), not below 0. A host is kept if no
+    shrunk rate exceeds ``max_rate``; a rate equal to it is kept. If hosts differ no more than by chance, all have the mean rate.
     Rows are combined before the shuffle, so a hot host is one row per task.
     """
     rules = rule_failures()
@@ -78,14 +79,16 @@ def host_verdicts(counted: DataFrame, host: str = "host", max_rate: float = 0.5)
     cells = per_host.select(host, "n", F.explode(F.array(*[
         F.struct(F.lit(name).alias("rule"), F.col(f"fails_{name}").alias("fails")) for name in rules])).alias("cell"))
     cells = cells.select(host, "n", "cell.rule", "cell.fails")
-    # Weighted moments from whole-number sums: mean = F/N, spread = sum(f*f/n)/N - mean^2.
+    # Weighted moments from whole-number sums: mean = F/N, sum n(p-m)^2 = sum f*f/n - F*F/N.
     moments = cells.groupBy("rule").agg(
-        F.sum("n").alias("docs"), F.sum("fails").alias("failed"),
-        F.sum(F.col("fails") * F.col("fails") / F.col("n")).alias("squares"))
+        F.sum("n").alias("docs"), F.sum("fails").alias("failed"), F.count(F.lit(1)).alias("hosts"),
+        F.sum(F.col("fails") * F.col("fails") / F.col("n")).alias("squares"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("sizes"))
     mean = F.col("failed") / F.col("docs")
-    spread = F.col("squares") / F.col("docs") - mean * mean
+    noise = (F.col("hosts") - 1) * mean * (1 - mean)
+    between = F.try_divide(F.col("squares") - F.col("docs") * mean * mean - noise, F.col("docs") - F.col("sizes") / F.col("docs"))
     prior = moments.select(F.col("rule").alias("prior_rule"), mean.alias("mean"), F.when(
-        spread > 1e-12, F.greatest(mean * (1 - mean) / spread - 1, F.lit(0.0))).alias("weight"))
+        between > 1e-12, F.greatest(mean * (1 - mean) / between - 1, F.lit(0.0))).alias("weight"))
     # One row per rule, whatever the input: always small enough to broadcast.
     joined = cells.join(F.broadcast(prior), F.col("rule") == F.col("prior_rule"))
     rate = F.coalesce((F.col("fails") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight")), F.col("mean"))
@@ -110,6 +113,7 @@ def host_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text:
 
 
 def op2_host_rules(docs: DataFrame) -> DataFrame:
+    """``host_rules`` of the documents, hosts being their sources; nulls, ties, repeats and clashing names as there."""
     return host_rules(docs)
 
 
@@ -134,8 +138,10 @@ docs AS (
      CAST(100 * n_symbols > 10 * coalesce(wc, 0) AS INT), CAST(100 * n_dup_lines > 30 * n_lines AS INT)] AS f FROM counted),
 cells AS (SELECT source, r, count(*) AS n, CAST(sum(f[r]) AS DOUBLE) AS fails
   FROM docs CROSS JOIN range(1, 5) x(r) GROUP BY 1, 2),
-prior AS (SELECT r, m, CASE WHEN s / d - m * m > 1e-12 THEN greatest(m * (1 - m) / (s / d - m * m) - 1, 0) END AS k
-  FROM (SELECT r, sum(n) AS d, sum(fails) / sum(n) AS m, sum(fails * fails / n) AS s FROM cells GROUP BY 1)),
+between AS (SELECT r, m, (s - d * m * m - (h - 1) * m * (1 - m)) / nullif(d - q / d, 0) AS b
+  FROM (SELECT r, CAST(sum(n) AS DOUBLE) AS d, count(*) AS h, sum(fails) / sum(n) AS m, sum(fails * fails / n) AS s, sum(CAST(n AS DOUBLE) * n) AS q
+    FROM cells GROUP BY 1)),
+prior AS (SELECT r, m, CASE WHEN b > 1e-12 THEN greatest(m * (1 - m) / b - 1, 0) END AS k FROM between),
 hosts AS (SELECT source AS host, max(coalesce((fails + m * k) / (n + k), m)) <= 0.5 AS host_kept
   FROM cells JOIN prior USING (r) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_kept,
