@@ -35,44 +35,45 @@ ALLOWED = (
 def entropy_range(candidate: Column, alphabet: str, bits: float, width: int) -> Column:
     """(first, last) of the code points under windows of at least ``bits``; nulls if there is none.
 
-    One walk over the string keeps the counts of the last ``width`` characters and the sum of
-    c*log2(c); each step changes two counts. A character outside the alphabet empties the window.
+    One walk over the characters, cut apart once, keeps the sum of c*log2(c) over the last ``width`` of them.
+    A step changes two counts, read from a slice of the last characters, so its cost does not depend on the string's
+    length. A character outside the alphabet empties the window.
     """
-    places = F.sequence(F.lit(1), F.length(candidate))
-    codes = F.transform(places, lambda i: F.position(candidate.substr(i, F.lit(1)), F.lit(alphabet)))
+    codes = F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(alphabet)))
     plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
-    zeros = F.array_repeat(F.lit(0), len(alphabet))
-    state = "struct<counts:array<int>,total:double,filled:int,at:int,first:int,last:int>"
+    state = "struct<total:double,filled:int,at:int,first:int,last:int>"
 
     def step(codes, acc, code):
-        def count(k):
-            return F.element_at(acc["counts"], k)
-
         def weight(n):
             return F.element_at(plogp, n + 1)
 
-        full = acc["filled"] >= width
-        gone = F.when(full, F.element_at(codes, F.greatest(acc["at"] - width + 1, F.lit(1)))).otherwise(F.lit(0))
-        same = gone == code
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(
-            acc["counts"], lambda n, i: n + F.when(i + 1 == code, 1).when(i + 1 == gone, -1).otherwise(0)))
-        added = weight(count(code) + 1) - weight(count(code))
-        left = F.when(gone > 0, weight(count(gone)) - weight(count(gone) - 1)).otherwise(0.0)
-        total = F.when(same, acc["total"]).otherwise(acc["total"] + added - left)
-        filled = F.least(acc["filled"] + 1, F.lit(width))
-        high = (filled >= width) & (F.lit(math.log2(width)) - total / width >= bits)
-        at = acc["at"] + 1
-        inside = F.struct(
-            counts.alias("counts"), total.alias("total"), filled.alias("filled"), at.alias("at"),
-            F.when(high, F.coalesce(acc["first"], at - width)).otherwise(acc["first"]).alias("first"),
-            F.when(high, at).otherwise(acc["last"]).alias("last"))
-        outside = F.struct(zeros.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("filled"),
-                           at.alias("at"), acc["first"].alias("first"), acc["last"].alias("last"))
-        return F.when(code > 0, inside.cast(state)).otherwise(outside.cast(state))
+        def moved(window):
+            """The sum after the window's first character, if it is full, has given way to the new one."""
+            full = acc["filled"] >= width
+            gone = F.when(full, F.get(window, F.lit(0))).otherwise(F.lit(0))
+            new = F.size(F.filter(window, lambda c: c == code))
+            old = F.size(F.filter(window, lambda c: c == gone))
+            added = weight(new + 1) - weight(new)
+            left = F.when(full, weight(old) - weight(F.greatest(old - 1, F.lit(0)))).otherwise(0.0)
+            return F.when(gone == code, acc["total"]).otherwise(acc["total"] + added - left)
+
+        def inside(total):
+            filled = F.least(acc["filled"] + 1, F.lit(width))
+            high = (filled >= width) & (F.lit(math.log2(width)) - total / width >= bits)
+            at = acc["at"] + 1
+            return F.struct(
+                total.alias("total"), filled.alias("filled"), at.alias("at"),
+                F.when(high, F.coalesce(acc["first"], at - width)).otherwise(acc["first"]).alias("first"),
+                F.when(high, at).otherwise(acc["last"]).alias("last")).cast(state)
+
+        outside = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("filled"), (acc["at"] + 1).alias("at"),
+                           acc["first"].alias("first"), acc["last"].alias("last")).cast(state)
+        window = F.slice(codes, acc["at"] - acc["filled"] + 1, acc["filled"])
+        return F.when(code > 0, let(let(window, moved), inside)).otherwise(outside)
 
     none = F.lit(None).cast("int")
-    start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("filled"),
-                     F.lit(0).alias("at"), none.alias("first"), none.alias("last")).cast(state)
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("filled"), F.lit(0).alias("at"),
+                     none.alias("first"), none.alias("last")).cast(state)
     return let(codes, lambda codes: F.aggregate(
         codes, start, lambda acc, code: step(codes, acc, code),
         lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
@@ -120,7 +121,10 @@ def find_secrets(docs: DataFrame, text: str = "text", width: int = 24, classes=C
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents with every secret in ``text`` replaced by a mark; null text stays null."""
+    """The documents with every secret in ``text`` replaced by a mark; null and empty texts stay.
+
+    Overlapping spans get one mark. Other columns, repeated rows and their order of columns stay as they are.
+    """
     found = find_secrets(docs, text, **options)
     every = F.concat("assign_spans", "access_spans", "hex_spans", "entropy_spans")
     cleaned = found.withColumn(text, F.when(F.col(text).isNotNull(), replaced(F.col(text), every)))

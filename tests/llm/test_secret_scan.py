@@ -100,3 +100,15 @@ def test_allow_list_keeps_to_one_case_and_to_the_segment(spark):
     found = {r.doc_id for r in S.op6_secret_scans(docs).collect() if "entropy" in r.spans}
     assert found == set(range(len(secret)))
     assert all(key not in r.text and letters not in r.text for r in S.redact_secrets(docs).where("doc_id < 4").collect())
+
+
+def test_very_long_candidates_end_soon(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(1, "".join(rng.choices(alphabet, k=1_000_000)))]
+    start = time.time()
+    got = S.op6_secret_scans(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert "entropy_base64:" in got["spans"] and time.time() - start < 90
