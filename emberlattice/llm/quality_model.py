@@ -95,6 +95,25 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return PuModel(tuple(map(float, centre)), tuple(map(float, scale)), tuple(map(float, w)), float(b), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.2) -> float:
+    """The share of positives among the unlabelled rows, from these two samples alone.
+
+    Any set holds at least prior * (its share of the positives) of the unlabelled rows, so the smallest ratio of the
+    two shares bounds the prior, and meets it for a set without negatives. The sets are the rows above a score of
+    a model of one half of the samples, taken over the other half; they hold ``least_share`` of its
+    positives or more, so that no ratio rests on few rows. The result lies between 0.01 and 0.99; 0.5 without rows.
+    """
+    if len(positive) < 20 or len(unlabelled) < 20:
+        return 0.5
+    model = fit_nnpu(positive[::2], unlabelled[::2], 0.5, steps=500)
+    line = lambda x: standardised(x, np.array(model.centre), np.array(model.scale)) @ np.array(model.weights)
+    sp, su = np.sort(line(positive[1::2])), np.sort(line(unlabelled[1::2]))
+    cuts = sp[:int(len(sp) * (1 - least_share)) + 1]
+    share_p = 1 - np.searchsorted(sp, cuts) / len(sp)
+    share_u = 1 - np.searchsorted(su, cuts) / len(su)
+    return float(np.clip(np.min(share_u / share_p), 0.01, 0.99))
+
+
 def held_out(key: Column) -> Column:
     """The fold kept for evaluation: crc32 of the key's text divisible by 5; null counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -105,15 +124,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     """Fit on at most about ``sample`` trusted positives and twice as many unlabelled documents.
 
     Positives are training-fold documents with label 1 (a document with several label rows needs 1 in
-    all). The unlabelled side is a stable draw from the training fold. The class prior is the share of
-    label 1 among the training fold's labelled documents, unless given; 0.5 without labels.
+    all). The unlabelled side is a stable draw from the training fold. The class prior is estimated from these two
+    (``estimate_prior``), unless given: rows with label 0 are never used. Rows that repeat a document count each.
     """
     keyed = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     keyed = keyed.groupBy("doc_id").agg(F.min(label).alias("label"))
-    counts = keyed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("ones")).first()
-    n, ones = counts["n"], counts["ones"] or 0
-    if prior is None:
-        prior = min(max(ones / n, 0.01), 0.99) if n else 0.5
+    ones = keyed.where(F.col("label") == 1).count()
     training = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     total = training.count()
 
@@ -125,7 +141,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     chosen = keyed.where(F.col("label") == 1).where(fraction_of("positive", F.col("doc_id")) < sample / max(ones, 1)).select("doc_id")
     positive = rows(training.join(F.broadcast(chosen), "doc_id", "left_semi"))
     unlabelled = rows(training.where(fraction_of("unlabelled", F.col("doc_id")) < 2 * sample / max(total, 1)))
-    return fit_nnpu(positive, unlabelled, prior)
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled) if prior is None else prior)
 
 
 def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -139,11 +155,12 @@ def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.3, text:
 
 
 def keep_quality(docs: DataFrame, model: PuModel, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
+    """The documents that the classifier accepts (a score equal to the threshold too), with their own columns; null text is empty."""
     return docs.where(model.score(features_of(text_of())) >= threshold)
 
 
 def op10_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all documents by a model of the training fold; nulls, blanks, repeats and ties as in ``score_quality``."""
     model = train_quality(docs, labels)
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -38,3 +38,22 @@ def test_odd_rows(spark):
     assert Q.op10_quality_classifier(docs.limit(0), labels.limit(0)).count() == 0
     model = Q.train_quality(docs, labels)
     assert Q.keep_quality(docs, model).columns == docs.columns
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(7)
+    k = len(Q.FEATURES)
+    positive = rng.normal(0.8, 1.0, (3000, k))
+    for prior in (0.3, 0.6, 0.9):
+        n = int(6000 * prior)
+        mixed = rng.permutation(np.vstack([rng.normal(0.8, 1.0, (n, k)), rng.normal(-0.8, 1.0, (6000 - n, k))]))
+        assert abs(Q.estimate_prior(positive, mixed) - prior) < 0.05
+    assert Q.estimate_prior(positive[:3], positive) == 0.5
+
+
+def test_labels_of_zero_are_not_used(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    assert Q.train_quality(docs, labels) == Q.train_quality(docs, labels.where("quality = 1"))
+    share = labels.selectExpr("avg(quality) AS s").first()["s"]
+    assert abs(Q.train_quality(docs, labels).prior - share) < 0.15
