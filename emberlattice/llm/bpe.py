@@ -11,15 +11,17 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import sliced, store, text_of
+from emberlattice.llm.common import discard, sliced, store, text_of
 
 WINDOW = 32  # bytes that the rolling hash sees
 LEAST_CHUNK = 128
@@ -29,7 +31,9 @@ _STEP = 0x9E3779B1
 _BATCH_CHARS = 1 << 20
 # White space after something else: a pre-token of a byte-level tokenizer never reaches from the one to the other.
 # Characters that some libraries count as white space and others do not stand on neither side.
-SAFE = re.compile("(?<=[^\\s\u180e\u200b\ufeff])(?=[ \\t\\n\\r])")
+_SOLID = re.compile("[^\\s\u180e\u200b\ufeff]")
+_BLANK = (" ", "\t", "\n", "\r")
+SAFE = re.compile(f"(?<={_SOLID.pattern})(?=[{''.join(_BLANK)}])")
 
 
 def default_tokenizer() -> str:
@@ -118,6 +122,60 @@ def bytes_of_ids(content: str) -> tuple[list[bytes], np.ndarray]:
     return out, np.array([len(b) for b in out], dtype=np.int64)
 
 
+class Stretches:
+    """Encodes pieces stretch by stretch between safe places, each distinct stretch once while it is remembered.
+
+    What is remembered is bounded: beyond ``most`` characters a new batch begins with nothing.
+    """
+
+    def __init__(self, content: str, most: int = 3_000_000):
+        self.tok, self.most = tokenizer_of(content), most
+        self.id_bytes = bytes_of_ids(content)[1]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = defaultdict(count().__next__)  # a new stretch gets the next number
+        self.chars, self.ids, self.lengths = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode new stretches. Those with a safe place at both ends go through the tokenizer in a row."""
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(fresh)
+        row, alone, size = [], [], 0
+        for k, part in enumerate(fresh):
+            size += len(part)
+            (row if part[:1] in _BLANK and _SOLID.match(part[-1:]) else alone).append(k)
+        for k, got in zip(alone, _encode_all(self.tok, [fresh[k] for k in alone])):
+            ids[k] = got
+        for at in range(0, len(row), 50_000):
+            some = row[at:at + 50_000]
+            got = _encode_all(self.tok, ["".join([fresh[k] for k in some])])[0]
+            edges = np.concatenate([[0], np.cumsum(self.id_bytes[got])])
+            cuts = np.searchsorted(edges, np.cumsum([len(fresh[k].encode("utf-8", "surrogatepass")) for k in some])).tolist()
+            for k, a, b in zip(some, [0, *cuts], cuts):
+                ids[k] = got[a:b]
+        self.chars += size
+        self.ids = np.concatenate([self.ids, *ids])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.chars > self.most:
+            self._forget()
+        places, sizes, before = [], [], len(self.known)
+        for text in texts:
+            parts = SAFE.split(text)
+            places.extend(map(self.known.__getitem__, parts))
+            sizes.append(len(parts))
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        at = np.array(places, dtype=np.int64)
+        width = self.lengths[at]
+        ends = np.concatenate([[0], np.cumsum(width)])
+        start = (np.cumsum(self.lengths) - self.lengths)[at] - ends[:-1]
+        flat = self.ids[np.repeat(start, width) + np.arange(ends[-1])]
+        edges = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
+        return [flat[a:b] for a, b in zip(edges, edges[1:])]
+
+
 class Piece:
     """A stretch of a text with its own ids and the byte places where each id starts."""
 
@@ -215,8 +273,12 @@ def _same(a: np.ndarray | None, b: np.ndarray | None) -> bool:
     return a is not None and b is not None and np.array_equal(a, b)
 
 
-def assembled(rows: list[tuple[str, list[tuple[int, int, bytes]]]], tok, lengths: np.ndarray) -> list[np.ndarray]:
-    """Ids of each text, given the ids (little-endian, 32 bits) of some of its chunks (start, end, ids)."""
+def assembled(rows: list[tuple[str, list[tuple[int, int, bytes]]]], pieces: Stretches, lengths: np.ndarray) -> list[np.ndarray]:
+    """Ids of each text, given the ids (little-endian, 32 bits) of some of its chunks (start, end, ids).
+
+    What lies between known chunks is encoded by ``pieces``; windows around joints go through the tokenizer itself.
+    """
+    tok = pieces.tok
     plans, todo = [], []
     for text, known in rows:
         data = text.encode("utf-8", "surrogatepass")
@@ -231,7 +293,7 @@ def assembled(rows: list[tuple[str, list[tuple[int, int, bytes]]]], tok, lengths
             stretches.append((at, len(data), len(todo)))
             todo.append(text if at == 0 else data[at:].decode("utf-8", "surrogatepass"))
         plans.append((text, data, stretches))
-    fresh = _encode_all(tok, todo)
+    fresh = pieces.encode(todo)
     out, joints = [], {}
     for k, (text, data, stretches) in enumerate(plans):
         ids = [fresh[i] if isinstance(i, int) else i for _, _, i in stretches]
@@ -286,33 +348,35 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
         F.collect_list(F.struct("start", "end", "digest")).alias("chunks")))
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer_of(content.value)
+        pieces = Stretches(content.value)
         for batch in sliced(batches):
             digests, texts = [], []
             for text, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 for c in chunks:
                     digests.append(c["digest"]), texts.append(data[c["start"]:c["end"]].decode("utf-8", "surrogatepass"))
-            ids = [i.astype("<u4").tobytes() for i in _encode_all(tok, texts)]
+            ids = [i.astype("<u4").tobytes() for i in pieces.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.binary())], names=["digest", "ids"])
 
     weight = todo.agg(F.sum(F.size("chunks") * 48 + 64)).first()[0] or 0
     side = F.broadcast(todo) if weight <= broadcast_bytes else todo
     # Rows that repeat both id and text encode the same chunks: one of them counts.
-    known = store(texts.join(side, ["h", "key"]).select("text", "chunks").mapInArrow(encode_chunks, "digest binary, ids binary")
-                  .dropDuplicates(["digest"]))
+    encoded = texts.join(side, ["h", "key"]).select("text", "chunks").mapInArrow(encode_chunks, "digest binary, ids binary")
+    known = store(encoded.dropDuplicates(["digest"]))
     held = places.groupBy("h", "start").agg(F.first("end").alias("end"), F.first("digest").alias("digest"))
     lists = store(held.join(known, "digest").groupBy("h").agg(F.collect_list(F.struct("start", "end", "ids")).alias("known")))
+    for table in (places, todo, known):
+        discard(table)
     weight = lists.agg(F.sum(F.aggregate("known", F.lit(64).cast("long"), lambda n, c: n + F.length(c["ids"]) + 32))).first()[0] or 0
     side = F.broadcast(lists) if weight <= broadcast_bytes else lists
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer_of(content.value)
+        pieces = Stretches(content.value)
         table, lengths = bytes_of_ids(content.value)
         for batch in sliced(batches, 500):
             rows = [(text, [(c["start"], c["end"], c["ids"]) for c in known or []])
                     for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            ids = assembled(rows, tok, lengths)
+            ids = assembled(rows, pieces, lengths)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
                  pa.array([decoded(i, table) for i in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])

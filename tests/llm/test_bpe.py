@@ -36,7 +36,7 @@ def cut_and_joined(text, places):
     edges = sorted({0, len(data), *(p for p in places if 0 < p < len(data) and data[p] & 0xC0 != 0x80)})
     known = [(a, b, np.array(TOK.encode(data[a:b].decode(), add_special_tokens=False).ids, "<u4").tobytes())
              for a, b in zip(edges, edges[1:])][::2] if data else []
-    return bpe.assembled([(text, known)], bpe.tokenizer_of(CONTENT), LENGTHS)[0].tolist()
+    return bpe.assembled([(text, known)], bpe.Stretches(CONTENT), LENGTHS)[0].tolist()
 
 
 PARTS = st.sampled_from(["a", "word", "'", "'re", "'ll", "s", " ", "  ", "\n", "\t", "\r\n", " ", " ", "\u0085", "\x1c", "\x1f", "!", "!?", "7", "42", "é", "東",
@@ -69,6 +69,16 @@ def test_windows_grow_until_they_agree():
     assert len(calls) > len(first) and max(map(len, calls)) > max(len(joints.text_of(w)) for w in first)
 
 
+def test_what_is_remembered_does_not_matter():
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(60)] + ["", " ", "a"]
+    for most in (0, 50, 10**6):
+        pieces = bpe.Stretches(CONTENT, most)
+        for k in range(0, len(texts), 7):
+            assert [i.tolist() for i in pieces.encode(texts[k:k + 7])] == [direct(t)[0] for t in texts[k:k + 7]]
+    assert [i.tolist() for i in bpe.Stretches(CONTENT).encode([])] == []
+
+
 def test_chunks_depend_on_content():
     rng = random.Random(4)
     shared = prose(rng, 1500).encode()
