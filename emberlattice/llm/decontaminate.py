@@ -40,100 +40,120 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(marked, rf"[.,](?:(?<![0-9].)|(?![0-9]))|[^\p{{L}}\p{{N}}{MARK}.,]+", " ")
 
 
-def windows_of(text: Column, width: int, max_slots: int, exact: bool = False) -> Column:
+ROW = "struct<pos:int,h:bigint,slots:array<string>>"
+BITS = 1 << 20
+
+
+def hash_bits(hashes: DataFrame) -> Column:
+    """The values of ``h`` as a bit map of fixed size (128 KB), a constant array that every row can look into."""
+    word, bit = F.shiftright(F.col("h").bitwiseAND(BITS - 1), 6), F.col("h").bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    known = {r["word"]: r["bits"] for r in hashes.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).collect()}
+    return F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(BITS >> 6))), ",").cast("array<bigint>")
+
+
+def _seen(bits: Column | None, h: Column) -> Column:
+    """Whether a hash may be among those of a bit map; without one, any may."""
+    if bits is None:
+        return F.lit(True)
+    return F.getbit(F.get(bits, F.shiftright(h.bitwiseAND(BITS - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+
+
+def _windows(spans: Column, span: int, size: int, last: Column, bits: Column | None) -> Column:
+    """(pos, h) of windows of ``size`` words from the hashes of all windows of ``span``: two of them, which may overlap, make a longer one."""
+    if span == size:
+        places = F.transform(spans, lambda h, i: F.when(
+            (i <= last) & _seen(bits, h), F.struct((i + 1).alias("pos"), h.alias("h"))))
+        return F.filter(places, lambda r: r.isNotNull())
+    gap = min(span, size - span)
+    wider = F.transform(spans, lambda h, i: F.xxhash64(h, F.get(spans, i + gap)))
+    return let(wider, lambda wider: _windows(wider, span + gap, size, last, bits))
+
+
+def windows_of(text: Column, width: int, max_slots: int, short: list[int] = (), whole: bool = False, bits: Column | None = None) -> Column:
     """Array of (pos, h, slots): each window's template hash and its slot values in order.
 
-    Windows with more than ``max_slots`` slots say too little as templates and are left out. With ``exact``
-    every window with slots has a second row, the hash of its words without slots, so that an equal window
-    meets it whatever is typed as a slot there: capital letters decide what is a name.
+    Windows with more than ``max_slots`` slots say too little as templates and are left out. Every window with slots
+    has a second row, the hash of its words without slots, so that an equal window meets it whatever is typed as a
+    slot there: capital letters decide what is a name. ``short`` adds windows of these numbers of words, by words;
+    with ``whole`` only if the text has that many. With ``bits`` windows whose hash is not in the map are left out
+    before their slots are looked up. Each word is hashed once.
     """
-    empty = F.array().cast("array<string>")
+    def hashed(tokens: Column, of_slot) -> Column:
+        """A hash for each word; a mark stands at the beginning of a word only."""
+        return F.transform(tokens, lambda w: F.xxhash64(F.when(w.startswith(MARK), of_slot(w)).otherwise(w)))
 
-    def hashed(template, slots=None):
-        size = F.size(template)
-        places = F.sequence(F.lit(1), size - (width - 1))
-        values = (lambda i: F.array_remove(F.slice(slots, i, width), "")) if slots is not None else (lambda i: empty)
-        rows = F.transform(places, lambda i: F.struct(
-            i.alias("pos"), F.xxhash64(F.slice(template, i, width)).alias("h"), values(i).alias("slots")))
-        return F.when(size >= width, rows).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>"))
+    def found(hashes: Column, size: int) -> Column:
+        """(pos, h) of the windows of ``size`` words that may be wanted."""
+        return let(hashes, lambda h: _windows(h, 1, size, F.size(h) - size, bits))
 
-    def split(line):
-        return F.array_remove(F.split(line, " "), "")
+    def rows(places: Column, slots=None) -> Column:
+        values = (lambda r: F.array_remove(F.slice(slots, r["pos"], width), "")) if slots is not None else (lambda r: F.array().cast("array<string>"))
+        return F.transform(places, lambda r: F.struct(r["pos"].alias("pos"), r["h"].alias("h"), values(r).alias("slots"))).cast(f"array<{ROW}>")
 
-    def by_words(rows, line):
-        return let(split(F.regexp_replace(line, f"{MARK}[dun]", "")), lambda words: F.transform(rows, lambda r: F.struct(
-            r["pos"].alias("pos"), F.xxhash64(F.slice(words, r["pos"], width)).alias("h"), empty.alias("slots"))))
+    def few(words: Column) -> Column:
+        none = F.array().cast(f"array<{ROW}>")
+        parts = [F.when(F.size(words) == n, rows(found(words, n))).otherwise(none) if whole else rows(found(words, n)) for n in short]
+        return F.concat(*parts) if parts else none
 
-    def with_slots(line):
-        slots = F.transform(split(line), lambda w: F.when(w.startswith(MARK), w).otherwise(""))
-        template = split(F.regexp_replace(line, rf"{MARK}([dun])[^ ]*", f"{MARK}$1"))
-        rows = let(template, lambda t: let(slots, lambda s: hashed(t, s)))
-        few = lambda r: F.size(r["slots"]) <= max_slots
-        if not exact:
-            return F.filter(rows, few)
-        return let(rows, lambda all_rows: F.concat(
-            F.filter(all_rows, few), by_words(F.filter(all_rows, lambda r: F.size(r["slots"]) > 0), line)))
+    def with_slots(tokens: Column, words: Column) -> Column:
+        slots = F.transform(tokens, lambda w: F.when(w.startswith(MARK), w).otherwise(""))
 
-    return let(canonical(text), lambda line: F.when(line.contains(MARK), with_slots(line)).otherwise(let(split(line), lambda t: hashed(t))))
+        def both(slots: Column) -> Column:
+            template = hashed(tokens, lambda w: F.substring(w, 1, 2))
+            typed = F.filter(rows(found(template, width), slots), lambda r: F.size(r["slots"]) <= max_slots)
+            plain = F.filter(rows(found(words, width), slots), lambda r: F.size(r["slots"]) > 0)
+            return F.concat(typed, F.transform(plain, lambda r: F.struct(
+                r["pos"].alias("pos"), r["h"].alias("h"), F.array().cast("array<string>").alias("slots"))).cast(f"array<{ROW}>"))
 
+        return let(slots, both)
 
-def whole_of(text: Column, widths: list[int], parts: bool) -> Column:
-    """Array of (pos, h, slots) by words alone: runs of each of ``widths`` words, or the text itself if it has one of these lengths."""
-    empty = F.array().cast("array<string>")
+    def of_line(line: Column) -> Column:
+        return let(F.array_remove(F.split(line, " "), ""), lambda tokens: let(
+            hashed(tokens, lambda w: w.substr(F.lit(3), F.length(w))), lambda w: F.concat(
+                F.when(line.contains(MARK), with_slots(tokens, w)).otherwise(rows(found(w, width))), few(w))))
 
-    def run(words, i, width):
-        return F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i, width)).alias("h"), empty.alias("slots"))
+    return let(canonical(text), of_line)
 
-    def runs(words, width):
-        size = F.size(words)
-        places = F.sequence(F.lit(1), size - (width - 1)) if parts else F.array(F.lit(1))
-        none = F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
-        return F.when(size >= width if parts else size == width, F.transform(places, lambda i: run(words, i, width))).otherwise(none)
 
-    line = F.regexp_replace(canonical(text), f"{MARK}[dun]", "")
-    return let(F.array_remove(F.split(line, " "), ""), lambda words: F.concat(*[runs(words, w) for w in widths]))
+def wanted_windows(text: Column, hashes: DataFrame, width: int, max_slots: int, short: list[int]) -> Column:
+    """``windows_of`` a document, those that may meet one of ``hashes`` (h)."""
+    return let(hash_bits(hashes), lambda bits: windows_of(text, width, max_slots, short, bits=bits))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_slots: int = 3, min_share: float = 0.5,
-          min_windows: int = 24, broadcast_rows: int = 500_000, strict: bool = True,
-          run_words: int = 13) -> DataFrame:
+          min_windows: int = 24, broadcast_rows: int = 500_000, run_words: int = 13) -> DataFrame:
     """Pairs (doc_id, item_id) of documents that hold a benchmark item: matched, item_windows, verbatim.
 
     Template windows of both sides meet by their hash. Along one alignment (a constant shift between the
-    two texts) the slots must be consistent: equal benchmark values stand for equal document values. With
-    ``strict`` an inconsistent alignment counts nothing, and windows of more than ``max_slots`` slots are no
-    windows. Without, only the windows that break the rule do not count (see ``_judged``), and windows of
-    slots meet by their words too, whatever their case and line wrap. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
-    them, match; without ``strict`` also if a document holds ``run_words`` of its words in a row, unchanged.
+    two texts) the slots must be consistent: equal benchmark values stand for equal document values; windows
+    that break the rule do not count (see ``_judged``). Windows with slots meet by their words too, whatever their case
+    and line wrap. An item is leaked if ``min_share`` of its windows, or ``min_windows`` of
+    them, match, or if a document holds ``run_words`` of its words in a row, unchanged.
     verbatim tells that every slot kept its value.
 
-    Null text counts as empty; null ids are an id. Rows with one doc_id are one document. Items shorter
-    than ``width`` words match nothing if ``strict``; else they are one window of their whole length, met by
+    Null text counts as empty; null ids are an id. Rows with one doc_id are one document; repeated rows change
+    nothing. Items shorter than ``width`` words are one window of their whole length, met by
     its words (an item of one or two words wherever these stand). Items without a word match nothing. Other columns are ignored,
     so their names may clash. The benchmark's windows are broadcast only if counted to be at most
-    ``broadcast_rows``; else both sides shuffle by hash.
+    ``broadcast_rows``; else both sides shuffle by hash. Windows of documents are looked up in a bit map of the benchmark's
+    hashes first, so that few are joined.
     """
-    text = text_of() if strict else evened(text_of())
-    of_item = of_doc = windows_of(text, width, max_slots, exact=not strict)
-    if not strict:
-        of_item = F.concat(of_item, whole_of(text, list(range(1, width)), parts=False))
-        lengths = benchmark.select(F.size(F.array_remove(F.split(canonical(text), " "), "")).alias("n"))
-        short = sorted(r["n"] for r in lengths.where(F.col("n").between(1, width - 1)).distinct().collect())
-        of_doc = F.concat(of_doc, whole_of(text, short, parts=True)) if short else of_doc
-    items = benchmark.select(F.col("item_id"), F.inline(of_item))
+    text = evened(text_of())
+    items = benchmark.select(F.col("item_id"), F.inline(windows_of(text, width, max_slots, list(range(1, width)), whole=True)))
     items = items.withColumnsRenamed({"pos": "b_pos", "slots": "b_slots"})
     items = store(items.dropDuplicates(["item_id", "b_pos", "h", "b_slots"]))
+    lengths = benchmark.select(F.size(F.array_remove(F.split(canonical(text), " "), "")).alias("n"))
+    short = sorted(r["n"] for r in lengths.where(F.col("n").between(1, width - 1)).distinct().collect())
     sizes = items.groupBy("item_id").agg(F.countDistinct("b_pos").alias("item_windows"))
     bounded = items.count() <= broadcast_rows
-    text_key = [] if strict else [F.xxhash64(text_of()).alias("text_key")]
-    windows = docs.select("doc_id", *text_key, F.inline(of_doc))
+    windows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"),
+                          F.inline(wanted_windows(text, items, width, max_slots, short)))
     hits = windows.join(F.broadcast(items) if bounded else items, "h").withColumn("shift", F.col("pos") - F.col("b_pos"))
-    found = _all_or_nothing(hits) if strict else _judged(hits, max(run_words - width + 1, 1))
+    found = _judged(hits, max(run_words - width + 1, 1))
     sizes = sizes.withColumnRenamed("item_id", "sized_item")
     joined = found.join(F.broadcast(sizes) if bounded else sizes, F.col("item_id").eqNullSafe(F.col("sized_item")))
-    enough = (F.col("matched") >= min_share * F.col("item_windows")) | (F.col("matched") >= min_windows)
-    if not strict:
-        enough = enough | F.col("long_run")
+    enough = (F.col("matched") >= min_share * F.col("item_windows")) | (F.col("matched") >= min_windows) | F.col("long_run")
     return joined.where(enough).select("doc_id", "item_id", "matched", "item_windows", "verbatim")
 
 
@@ -141,15 +161,6 @@ def _pairs() -> Column:
     return F.zip_with("b_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
 
 
-def _all_or_nothing(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, verbatim) of the consistent alignments; the others count nothing."""
-    lines = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("b_pos").alias("n"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
-    lines = lines.where(consistent).withColumn("same", F.forall("pairs", lambda p: p["b"] == p["d"]))
-    return lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("matched"), F.every("same").alias("verbatim"))
-
-
 def _judged(hits: DataFrame, run: int) -> DataFrame:
     """(doc_id, item_id, matched, verbatim, long_run), each window judged by itself.
 
@@ -182,10 +193,14 @@ def _judged(hits: DataFrame, run: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
+    """The documents that hold no benchmark item, with their own columns; null ids and repeated rows stay as they are.
+
+    Rows with one doc_id go or stay together; an empty table of either kind drops nothing.
+    """
     found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked_id"]), "left_anti")
 
 
 def op8_benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return leaks(docs, benchmark, strict=False)
+    """``leaks`` of the benchmark in the documents; nulls, ties, repeats, short and very long texts as there."""
+    return leaks(docs, benchmark)

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import regex
 
@@ -8,8 +8,12 @@ from emberlattice.llm.common import table
 SF = "/root/testdata/sf0.001"
 
 
+SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def tokens(text):
-    text = (text or "").replace("\x01", "")
+    text = regex.sub(SPACE, " ", text or "")
+    text = regex.sub(rf"([0-9])(?=(?i:{'|'.join(D.UNITS)})\b)", r"\1 ", text).replace("\x01", "")
     marked = regex.sub(rf"\b(?:{'|'.join(D.NAMES)})\b|(?<=[\p{{Ll}},;] )\p{{Lu}}\p{{Ll}}+", lambda m: "\x01n" + m[0], text)
     marked = regex.sub(r"(?<![\p{L}\p{N}])([0-9]+(?:[.,][0-9]+)*)", lambda m: "\x01d" + m[0], marked)
     marked = regex.sub(rf"(\x01d[0-9.,]*[0-9]) ?({'|'.join(D.UNITS)})\b", lambda m: f"{m[1]} \x01u{m[2]}", marked).lower()
@@ -17,34 +21,49 @@ def tokens(text):
     return regex.sub(r"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{L}\p{N}\x01.,]+", " ", marked).split()
 
 
-def windows(text, width=8, max_slots=3):
+def windows(text, sizes, whole, width=8, max_slots=3):
+    """(pos, key, slots): template windows, word windows of those with slots, and short windows by words."""
     t = tokens(text)
+    plain = [w[2:] if w[0] == "\x01" else w for w in t]
     for i in range(len(t) - width + 1):
         slots = tuple(w for w in t[i:i + width] if w[0] == "\x01")
         if len(slots) <= max_slots:
             yield i, tuple(w[:2] if w[0] == "\x01" else w for w in t[i:i + width]), slots
+        if slots:
+            yield i, tuple(plain[i:i + width]), ()
+    for n in sizes:
+        for i in range(len(t) - n + 1):
+            if not whole or len(t) == n:
+                yield i, tuple(plain[i:i + n]), ()
 
 
-def brute(docs, items):
-    index, size = defaultdict(list), {}
+def brute(docs, items, width=8, run=6):
+    index, size = defaultdict(set), {}
     for item, text in items:
-        own = list(windows(text))
-        size[item] = len(own)
+        own = set(windows(text, range(1, width), True))
+        size[item] = len({pos for pos, _, _ in own})
         for pos, key, slots in own:
-            index[key].append((item, pos, slots))
-    lines = defaultdict(lambda: (set(), set()))
+            index[key].add((item, pos, slots))
+    short = {n for n in (len(tokens(text)) for _, text in items) if 0 < n < width}
+    lines = defaultdict(set)
     for doc, text in docs:
-        for pos, key, slots in windows(text):
+        for pos, key, slots in windows(text, short, False):
             for item, b_pos, b_slots in index.get(key, ()):
-                n, pairs = lines[doc, item, pos - b_pos]
-                n.add(b_pos)
-                pairs.update(zip(b_slots, slots))
-    found = defaultdict(lambda: [0, True])
-    for (doc, item, _), (n, pairs) in lines.items():
-        if len(pairs) == len({b for b, _ in pairs}):
-            found[doc, item][0] += len(n)
-            found[doc, item][1] &= all(b == d for b, d in pairs)
-    return sorted(((d, i, n, size[i], same) for (d, i), (n, same) in found.items() if n >= 0.5 * size[i] or n >= 24), key=str)
+                lines[doc, text, item, pos - b_pos].add((b_pos, b_slots, slots))
+    found = defaultdict(lambda: [set(), True, False])
+    for (doc, _, item, shift), hits in lines.items():
+        votes = Counter((b, d) for _, bs, ds in hits for b, d in zip(bs, ds))
+        best = {}
+        for (b, d), n in votes.items():
+            best[b] = max(best.get(b, (0, False, "")), (n, b == d, d))
+        counts = [(p, bs == ds) for p, bs, ds in hits if bs == ds or all(best[b][2] == d for b, d in zip(bs, ds))]
+        if counts:
+            kept = {p for p, same in counts if same}
+            row = found[doc, item]
+            row[0] |= {(shift, p) for p, _ in counts}
+            row[1] &= all(bs == ds for _, bs, ds in hits)
+            row[2] |= any(all(p + k in kept for k in range(run)) for p in kept)
+    return sorted(((d, i, len(n), size[i], same) for (d, i), (n, same, long) in found.items() if n and (len(n) >= 0.5 * size[i] or len(n) >= 24 or long)), key=str)
 
 
 ITEM = ("Natalia sold 48 clips to her friends in April, and then she sold half as many clips in May. "
@@ -63,7 +82,7 @@ def test_matches_brute_force(spark):
         got = sorted(map(tuple, D.leaks(docs, bench, broadcast_rows=limit).collect()), key=str)
         assert got == want
     found = {d: same for d, _, _, _, same in want}
-    assert found[1] and found[None] and found[2] is False and 3 not in found and 5 not in found
+    assert found[1] and found[None] and found[2] is False and found[4] and 5 not in found
     kept = [r.doc_id for r in D.decontaminate(docs, bench).collect()]
     assert sorted(kept) == sorted(d for d, _ in DOCS if d not in found)
 

@@ -1,4 +1,4 @@
-"""The whole rule (``strict=False``), which the registered query and the pipeline use."""
+"""Cases of the whole rule made by hand."""
 
 import textwrap
 
@@ -17,7 +17,7 @@ GERMAN = "Der alte Mann gab dem Kind einen Apfel und sagte leise, dass jeder Apf
 def leaks(spark, docs, items, **options):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     items = spark.createDataFrame(items, "item_id long, text string")
-    return {(r.doc_id, r.item_id): r for r in D.leaks(docs, items, strict=False, **options).collect()}
+    return {(r.doc_id, r.item_id): r for r in D.leaks(docs, items, **options).collect()}
 
 
 @pytest.mark.parametrize("limit", [500_000, 0])
