@@ -383,8 +383,8 @@ def _(spark, sf):
 
 @check("M14_downscale_best", None)
 def _(spark, sf):
-    """The better of ridge and constant, all features, at the 0.009 x 0.012 degree lattice, summed up by day."""
-    fine = downscale.downscale_best(D.grid_daily(spark, sf), ["fwi", "temperature_max"], names=("ridge", "constant"), source_step=0.25)
+    """The better of ridge and constant, all features, at a 0.09 x 0.12 degree lattice, summed up by day."""
+    fine = downscale.downscale_best(D.grid_daily(spark, sf), ["fwi", "temperature_max"], dlat=0.09, dlon=0.12, names=("ridge", "constant"), source_step=0.25)
     return fine.groupBy("date", "prediction_method", "model_cv_score").agg(F.count(F.lit(1)).alias("n"), F.avg("fwi_predicted").alias("mean"))
 
 
