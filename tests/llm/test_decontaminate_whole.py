@@ -62,3 +62,15 @@ def test_case_and_line_wrap_do_not_matter(spark):
     got = leaks(spark, docs, items)
     assert set(got) == {(d, d // 10) for d, _ in docs}
     assert all(r.matched >= r.item_windows for r in got.values())
+
+
+def test_white_space_of_every_kind_is_evened(spark):
+    """Each blank, ASCII or not, and any run of them, reads as one space; a mark of slots in the text is no word."""
+    texts = [f"a{blank}b" for blank in D.ASCII_BLANKS + D.WIDE_BLANKS] + ["a \t \n  b", "a\x01 \xa0b", "a" + " \n" * 5000 + "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r[0] for r in df.select(D.canonical(D.evened(D.text_of()))).collect()} == {"a b"}
+
+
+def test_empty_and_null_texts_are_evened(spark):
+    df = spark.createDataFrame([(None,), ("",), ("\n",)], "text string")
+    assert [r[0] for r in df.select(D.evened(D.text_of())).collect()] == ["", "", " "]
