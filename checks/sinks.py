@@ -67,6 +67,30 @@ def _(spark, sf):
     return spark.read.parquet(out).select("date", "latitude", "longitude", "fwi")
 
 
+_RERUN = "SELECT date, latitude, longitude, CASE WHEN month(date) = 6 THEN fwi + 1 ELSE fwi END AS fwi FROM grid_daily"
+
+
+@check("S08_replace_slices", build(_RERUN, G), ["fwi"])
+def _(spark, sf):
+    """All dates are filed twice, then June is delivered again with other values."""
+    path, g = folder(spark, "refiled"), _grid(spark, sf)
+    for part in (g, g, g.where("month(date) = 6").withColumn("fwi", F.col("fwi") + 1)):
+        tables.replace_slices(part, path)
+    return spark.read.parquet(path).select("date", "latitude", "longitude", "fwi")
+
+
+@check("S08_replace_slices_stream", build(_RERUN, G), ["fwi"])
+def _(spark, sf):
+    """Two runs of the stream: the daily rows, then June again with other values."""
+    src, out, state = (folder(spark, n) for n in ("arriving", "refiled", "state"))
+    time = F.col("date").cast("timestamp_ntz").alias("time")
+    g = _grid(spark, sf)
+    for part in (g, g.where("month(date) = 6").withColumn("fwi", F.col("fwi") + 1)):
+        part.select(time, "latitude", "longitude", "fwi").write.mode("append").parquet(src)
+        slices.replace_slices_stream(slices.read_slices(spark, src, FWI_DAILY), out, state).awaitTermination()
+    return spark.read.parquet(out).select("date", "latitude", "longitude", "fwi")
+
+
 @check("S10_write_sample", build(
     f"SELECT * FROM fine_pred ORDER BY {DIGEST}, date, latitude, longitude, fwi_predicted LIMIT 1000", ["fine_pred"]), ["fwi_predicted"])
 def _(spark, sf):

@@ -68,13 +68,14 @@ def pixels_of_tiles(pixels: DataFrame, tiles: DataFrame, box: Sequence[float], k
 
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",),
-    mode: str = "overwrite", sort: Sequence[str] = KEYS, files_per_slice: int | None = None,
+    mode: str = "overwrite", sort: Sequence[str] = KEYS, files_per_slice: int | None = None, replace: str = "static",
 ) -> None:
     """Save a table partitioned by date, sorted inside each file.
 
     Rows are gathered per slice first, so tasks do not each write a small file for every date. Spark
     rebalances the slices by size: large dates are split over tasks, small ones share one. With
-    ``files_per_slice`` a date is cut in that many files by a hash of its keys instead.
+    ``files_per_slice`` a date is cut in that many files by a hash of its keys instead. ``replace`` tells what
+    an overwrite removes: the whole table ("static") or the slices written ("dynamic").
     """
     inner = [c for c in sort if c in df.columns and c not in partition_by]
     out = df
@@ -85,7 +86,7 @@ def write_table(
         out = out.repartition(*partition_by, slot)
     if inner or partition_by:
         out = out.sortWithinPartitions(*partition_by, *inner)
-    writer = out.write.mode(mode).format(fmt)
+    writer = out.write.mode(mode).format(fmt).option("partitionOverwriteMode", replace)
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
@@ -99,6 +100,19 @@ def append_slices(
     write_table(df, path, fmt, partition_by, "append", files_per_slice=files_per_slice)
 
 
+def replace_slices(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("date",)) -> None:
+    """Write the time slices of ``df`` in place of the stored ones with the same dates; other dates stay.
+
+    Writing a slice twice equals writing it once, so a job that failed, or a date that was delivered again, is simply run
+    again. Only the slices in ``df`` are rewritten, whatever the table's size. ``df`` may be made from the table
+    itself: a slice changes when the job commits, after its rows were read. A null date is a slice like any
+    other. An empty ``df`` changes nothing.
+    """
+    if not partition_by:
+        raise ValueError("slices need a column")
+    write_table(df, path, fmt, partition_by, "overwrite", replace="dynamic")
+
+
 def write_sample(df: DataFrame, path: str, n: int, keys: Sequence[str] = KEYS, seed: int = 42) -> None:
     """Save at most n rows, chosen by a seeded hash of the keys."""
     write_table(sample_n(df, n, keys, seed), path, partition_by=())

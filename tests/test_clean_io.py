@@ -163,6 +163,52 @@ def test_stream_append(spark, tmp_path):
         rows.where("fwi >= 3").write.mode("append").parquet(src)
 
 
+def daily(spark, days, shift=0.0):
+    rows = [(dt.datetime(2017, 6, d), 40.0 + i, -8.0, float(d) + shift) for d in days for i in range(2)]
+    return spark.createDataFrame(rows, T.StructType(FWI_DAILY.fields))
+
+
+def slices_of(spark, path):
+    return sorted((str(r["date"]), r["n"], r["x"]) for r in spark.read.parquet(path).groupBy("date").agg(
+        F.count(F.lit(1)).alias("n"), F.max("fwi").alias("x")).collect())
+
+
+def test_replace_slices_twice_equals_once(spark, tmp_path):
+    out, dated = str(tmp_path / "out"), F.col("time").cast("date")
+    rows = daily(spark, [1, 2, 3]).withColumn("date", dated)
+    tables.replace_slices(rows, out)
+    once = slices_of(spark, out)
+    tables.replace_slices(rows, out)
+    tables.replace_slices(rows.limit(0), out)
+    assert slices_of(spark, out) == once == [(f"2017-06-0{d}", 2, float(d)) for d in (1, 2, 3)]
+    kept = sorted(os.listdir(f"{out}/date=2017-06-01"))
+    tables.replace_slices(daily(spark, [3, 4], 0.5).withColumn("date", dated), out)
+    assert slices_of(spark, out) == [("2017-06-01", 2, 1.0), ("2017-06-02", 2, 2.0), ("2017-06-03", 2, 3.5), ("2017-06-04", 2, 4.5)]
+    assert sorted(os.listdir(f"{out}/date=2017-06-01")) == kept
+    with pytest.raises(ValueError):
+        tables.replace_slices(rows, out, partition_by=())
+
+
+def test_replace_slices_null_date_and_own_table(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = daily(spark, [1, 2]).withColumn("date", F.when(F.col("fwi") < 2, F.col("time").cast("date")))
+    for _ in range(2):
+        tables.replace_slices(rows, out)
+    assert slices_of(spark, out) == [("2017-06-01", 2, 1.0), ("None", 2, 2.0)]
+    tables.replace_slices(spark.read.parquet(out).where("date IS NULL").withColumn("fwi", F.col("fwi") * 2), out)
+    assert slices_of(spark, out) == [("2017-06-01", 2, 1.0), ("None", 2, 4.0)]
+
+
+def test_stream_replaces_redelivered_dates(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    daily(spark, [1, 2, 3]).write.parquet(src)
+    for expected in (2.0, 2.5, 2.5):
+        slices.replace_slices_stream(slices.read_slices(spark, src, FWI_DAILY), out, cp).awaitTermination()
+        assert slices_of(spark, out) == [("2017-06-01", 2, 1.0), ("2017-06-02", 2, expected), ("2017-06-03", 2, 3.0)]
+        if expected == 2.0:
+            daily(spark, [2], 0.5).write.mode("append").parquet(src)
+
+
 def test_km_per_degree(spark):
     v = spark.range(1).select(km_per_degree_lon(F.lit(39.5))).first()[0]
     assert abs(v - 85.8974) < 1e-3
