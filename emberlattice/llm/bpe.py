@@ -273,6 +273,11 @@ def _same(a: np.ndarray | None, b: np.ndarray | None) -> bool:
     return a is not None and b is not None and np.array_equal(a, b)
 
 
+def packing(ids: int) -> str:
+    """The narrowest little-endian type for that many different ids."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
 def assembled(rows: list[tuple[str, list[tuple[int, int, bytes]]]], pieces: Stretches, lengths: np.ndarray) -> list[np.ndarray]:
     """Ids of each text, given the ids (little-endian, 32 bits) of some of its chunks (start, end, ids).
 
@@ -318,7 +323,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
     Chunks that stand in the corpus more than once, in one text or several, are encoded once; 128-bit digests tell
     chunks and texts apart. Null text counts as empty and gives no ids; ids may be null and rows may repeat. Other
     columns are ignored, so their names may clash. Lists of chunks are broadcast only if counted to weigh at most
-    ``broadcast_bytes``, else joined by a shuffle; a chunk that very many texts hold is one row on its side of the join, and
+    ``broadcast_bytes``, else joined by a shuffle; stored ids take two bytes each where the vocabulary allows; a chunk that very many texts hold is one row on its side of the join, and
     equal texts count once there.
     """
     spark = docs.sparkSession
@@ -349,13 +354,14 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Stretches(content.value)
+        packed = packing(len(pieces.id_bytes))
         for batch in sliced(batches):
             digests, texts = [], []
             for text, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 for c in chunks:
                     digests.append(c["digest"]), texts.append(data[c["start"]:c["end"]].decode("utf-8", "surrogatepass"))
-            ids = [i.astype("<u4").tobytes() for i in pieces.encode(texts)]
+            ids = [i.astype(packed).tobytes() for i in pieces.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.binary())], names=["digest", "ids"])
 
     weight = todo.agg(F.sum(F.size("chunks") * 48 + 64)).first()[0] or 0
@@ -373,8 +379,9 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Stretches(content.value)
         table, lengths = bytes_of_ids(content.value)
+        packed = packing(len(lengths))
         for batch in sliced(batches, 500):
-            rows = [(text, [(c["start"], c["end"], c["ids"]) for c in known or []])
+            rows = [(text, [(c["start"], c["end"], np.frombuffer(c["ids"], packed).astype("<u4").tobytes()) for c in known or []])
                     for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             ids = assembled(rows, pieces, lengths)
             yield pa.RecordBatch.from_arrays(
