@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -322,9 +323,10 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
 
     Chunks that stand in the corpus more than once, in one text or several, are encoded once; 128-bit digests tell
     chunks and texts apart. Null text counts as empty and gives no ids; ids may be null and rows may repeat. Other
-    columns are ignored, so their names may clash. Lists of chunks are broadcast only if counted to weigh at most
-    ``broadcast_bytes``, else joined by a shuffle; stored ids take two bytes each where the vocabulary allows; a chunk that very many texts hold is one row on its side of the join, and
-    equal texts count once there.
+    columns are ignored, so their names may clash. The places of the chunks to encode are broadcast only if
+    counted to weigh at most ``broadcast_bytes``, else joined by a shuffle. The ids known of a text are joined to it by a
+    shuffle, where texts travel compressed and ids in two bytes if the vocabulary allows; a chunk that very many texts
+    hold is one row on its side of the join, and equal texts count once there.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
@@ -373,22 +375,28 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
     lists = store(held.join(known, "digest").groupBy("h").agg(F.collect_list(F.struct("start", "end", "ids")).alias("known")))
     for table in (places, todo, known):
         discard(table)
-    weight = lists.agg(F.sum(F.aggregate("known", F.lit(64).cast("long"), lambda n, c: n + F.length(c["ids"]) + 32))).first()[0] or 0
-    side = F.broadcast(lists) if weight <= broadcast_bytes else lists
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            small = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["doc_id", "h", "small"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Stretches(content.value)
         table, lengths = bytes_of_ids(content.value)
         packed = packing(len(lengths))
         for batch in sliced(batches, 500):
-            rows = [(text, [(c["start"], c["end"], np.frombuffer(c["ids"], packed).astype("<u4").tobytes()) for c in known or []])
-                    for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            rows = [(zlib.decompress(small).decode("utf-8", "surrogatepass"),
+                     [(c["start"], c["end"], np.frombuffer(c["ids"], packed).astype("<u4").tobytes()) for c in known or []])
+                    for small, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             ids = assembled(rows, pieces, lengths)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
                  pa.array([decoded(i, table) for i in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return texts.join(side, "h", "left").select("doc_id", "text", "known").mapInArrow(
+    # What is known of all texts grows with the corpus, so this join shuffles at any size; texts travel compressed.
+    travel = texts.select("doc_id", "h", "text").mapInArrow(squeeze, f"doc_id {kind}, h binary, small binary")
+    return travel.join(lists.hint("merge"), "h", "left").select("doc_id", "small", "known").mapInArrow(
         encode, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")
 
 
