@@ -1,16 +1,18 @@
 """Writers: each query stores a table in the shared folder and reads it back."""
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.base import DIGEST, build, check
+from emberlattice.operators import counted as K
 from emberlattice.plans import closure
 from emberlattice.schema import FWI_DAILY
 from emberlattice.session import shared_folder
 from emberlattice.sources import derived as D
-from emberlattice.sources import tables
+from emberlattice.sources import tables, zones
 from emberlattice.streaming import slices
 
 G = ["grid_daily"]
@@ -91,6 +93,53 @@ def _(spark, sf):
     return spark.read.parquet(out).select("date", "latitude", "longitude", "fwi")
 
 
+def _counted(spark, sf, measures):
+    """The counts of all days: two half years, then June again with the same rows."""
+    path, g = folder(spark, "counts"), D.grid_daily(spark, sf)
+    for part in (g.where("month(date) <= 6"), g.where("month(date) > 6"), g.where("month(date) = 6")):
+        K.update_counts(part, path, measures)
+    return spark.read.parquet(path)
+
+
+_STATS = ("SELECT '{0}' AS measure, count({0}) AS count, avg({0}) AS mean, stddev_samp({0}) AS std, median({0}) AS median,"
+          " sqrt(count({0}))*sum(({0}-m)**3)/sum(({0}-m)**2)**1.5 AS skewness, kurtosis_pop({0}) AS kurtosis,"
+          " min({0}) AS min, max({0}) AS max FROM grid_daily, (SELECT avg({0}) AS m FROM grid_daily)")
+
+
+@check("A18_stats_of_counts", build(" UNION ALL ".join(_STATS.format(c) for c in ("fwi", "total_precipitation")), G),
+       ["mean", "std", "median", "skewness", "kurtosis", "min", "max"])
+def _(spark, sf):
+    return K.counted_stats(_counted(spark, sf, ["fwi", "total_precipitation"]))
+
+
+@check("W02_ecdf_of_counts", build(
+    "SELECT fwi AS value, row_number() OVER (ORDER BY fwi) AS k, row_number() OVER (ORDER BY fwi)/count(*) OVER () AS cumulative FROM grid_daily", G), ["cumulative", "value"])
+def _(spark, sf):
+    return K.counted_ecdf(_counted(spark, sf, ["fwi"])).drop("measure")
+
+
+@check("P20_impute_from_counts", build(
+    "SELECT date, latitude, longitude, coalesce(total_precipitation, (SELECT median(total_precipitation) FROM grid_daily)) AS total_precipitation"
+    " FROM grid_daily WHERE date = (SELECT max(date) FROM grid_daily)", G), ["total_precipitation"])
+def _(spark, sf):
+    """The last day, filled with the median of all days."""
+    g = D.grid_daily(spark, sf).select("date", "latitude", "longitude", "total_precipitation")
+    last = g.where(F.col("date") == g.agg(F.max("date")).scalar())
+    return K.impute_from_counts(last, _counted(spark, sf, ["total_precipitation"]), ["total_precipitation"])
+
+
+@check("S04_zone_scan", build(
+    "SELECT date, latitude, longitude, fwi FROM grid_daily WHERE latitude BETWEEN 39 AND 40 AND date BETWEEN DATE '2017-05-01' AND DATE '2017-07-31'", G), ["fwi"])
+def _(spark, sf):
+    """Two half years stored by ranges of latitude, the second one after the map was begun."""
+    path, state, g = folder(spark, "zoned"), folder(spark, "zones"), _grid(spark, sf)
+    for part in (g.where("month(date) <= 6"), g.where("month(date) > 6")):
+        part.repartitionByRange(8, "latitude").write.mode("append").parquet(path)
+        zones.extend_zones(spark, path, state, ["latitude", "longitude", "date"])
+    ranges = {"latitude": (39.0, 40.0), "date": (dt.date(2017, 5, 1), dt.date(2017, 7, 31))}
+    return zones.scan_zones(spark, path, spark.read.parquet(state), ranges)
+
+
 @check("S10_write_sample", build(
     f"SELECT * FROM fine_pred ORDER BY {DIGEST}, date, latitude, longitude, fwi_predicted LIMIT 1000", ["fine_pred"]), ["fwi_predicted"])
 def _(spark, sf):

@@ -139,10 +139,15 @@ def percent_rank_average(
     return df.join(ranked, [*by, value], "left").select(*df.columns, out)
 
 
-def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), chunk: int = 100_000) -> DataFrame:
-    """(by..., value, k, cumulative): one step k/n per row, ties get consecutive steps."""
+def ecdf(
+    df: DataFrame, value: str, by: Sequence[str] = (), chunk: int = 100_000, weight: Column | None = None
+) -> DataFrame:
+    """(by..., value, k, cumulative): one step k/n per row, ties get consecutive steps.
+
+    ``weight`` tells how many rows a row stands for.
+    """
     by = list(by)
-    ranked = ranked_counts(df, value, by)
+    ranked = ranked_counts(df, value, by, weight=weight)
     # A value with many copies is cut in chunks that can be spread before they are expanded.
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long")))
     chunks = ranked.withColumn("start", starts)
