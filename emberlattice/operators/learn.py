@@ -215,13 +215,13 @@ def _number(digest: Column, digits: int = 15) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
-def hash_places(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
+def hash_places(df: DataFrame, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Add _place (0.. in the order of a digest of the keys) and _total; ties are told apart by the row.
 
-    Any engine can repeat the order: it goes by the MD5 of the keys as text.
+    Any engine can repeat the order: it goes by the MD5 of the keys as text (without ``keys`` of all columns).
     """
     cols = df.columns
-    keyed = df.withColumn("_h", _number(row_digest(keys, seed)))
+    keyed = df.withColumn("_h", _number(row_digest(cols if keys is None else keys, seed)))
     tie = F.row_number().over(W.partitionBy("_h").orderBy(*cols)) - 1
     places = ranked_counts(keyed, "_h").select(F.col("value").alias("_h"), "before", F.col("total").alias("_total"))
     joined = keyed.withColumn("_tie", tie).join(places, "_h")
