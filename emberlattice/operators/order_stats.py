@@ -29,11 +29,13 @@ def ranked_counts(
     by: Sequence[str] = (),
     buckets: int | None = None,
     weight: Column | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """(by..., value, n, before, total): counts per distinct value with cumulative position.
 
     ``before`` is the number of rows of the group with a smaller value, ``total`` the group size.
-    ``weight`` replaces the row count when rows already carry one.
+    ``weight`` replaces the row count when rows already carry one. ``keep_bucket`` adds the value's
+    range as ``bucket``, so that a group's statistics can go back to its values range by range.
     """
     by = list(by)
     size = _bucket_count(df, buckets)
@@ -71,7 +73,8 @@ def ranked_counts(
     if not by:
         offsets = F.broadcast(offsets)  # no more than MAX_BUCKETS rows
     return ranked.join(offsets, [*by, "bucket"]).select(
-        *by, "value", "n", (F.col("offset") + F.col("upto") - F.col("n")).alias("before"), "total"
+        *by, "value", "n", (F.col("offset") + F.col("upto") - F.col("n")).alias("before"), "total",
+        *(["bucket"] if keep_bucket else []),
     )
 
 

@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberlattice.operators import aggregate as A
 from emberlattice.operators import clean as C
+from emberlattice.operators import distribution as X
 from emberlattice.operators import joins as J
 from emberlattice.operators import learn as N
 from emberlattice.operators import spatial as S
@@ -73,6 +75,18 @@ def joined_rows(df):
     return most
 
 
+def test_box_stats_join_no_rows_of_a_hot_group(spark):
+    """A group of 20,000 rows and 50 values: counted values are joined, not the rows."""
+    df = spark.range(20_020).select(F.when(F.col("id") < 20_000, "hot").otherwise("few").alias("g"), (F.col("id") % 50).cast("double").alias("x"))
+    df = df.unionByName(spark.createDataFrame([("hot", 500.0), ("hot", -400.0), ("hot", 500.0), ("few", None)], "g string, x double"))
+    stats = X.box_stats(df, "x", ["g"])
+    got = {r.g: r for r in stats.collect()}
+    hot = np.sort(np.concatenate([np.tile(np.arange(50.0), 400), [500.0, -400.0, 500.0]]))
+    assert [got["hot"].q1, got["hot"].median, got["hot"].q3] == pytest.approx(np.quantile(hot, [0.25, 0.5, 0.75]).tolist())
+    assert (got["hot"].whisker_low, got["hot"].whisker_high, got["hot"].n_outliers, got["few"].n_outliers) == (0.0, 49.0, 3, 0)
+    assert joined_rows(stats) <= 200
+
+
 def test_box_and_dates_reach_the_scan(spark, tmp_path):
     rows = points(spark, [(40.0, -8.0, 1.0)]).select(F.col("date").cast("timestamp_ntz").alias("time"), "latitude", "longitude", "fwi")
     rows.write.parquet(str(tmp_path / "t"))
