@@ -121,11 +121,14 @@ def _without_neighbour(
 def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[str]) -> DataFrame:
     """Exact nearest site for coordinates with none within r0, without pairing whole groups.
 
-    1. Find the smallest cell size r0 * FACTOR^k whose 3x3 block holds a site; any site in it bounds the
-       distance. 2. From the block that covers the bound go down level by level: a cell's occupied
-       children are opened only if the cell can hold a nearer site than the best representative seen
-       so far. 3. Compare with the sites of the base cells that are left.
-    A coordinate keeps few cells on every level, however many sites lie in its far block.
+    The levels are searched once for all coordinates of a base cell, by the box around them:
+    1. Find the smallest cell size r0 * FACTOR^k whose 3x3 block holds a site; the box corner farthest
+       from any site in it bounds the distance. 2. From the block that covers the bound go down level
+       by level: a cell's occupied children are opened only if the cell can hold a nearer site than the
+       best representative seen so far. 3. Each coordinate keeps those of its box's base cells that can
+       hold its nearest site and compares their sites.
+    A box keeps few cells on every level, however many sites lie in its far block, and the coordinates
+    are neither copied nor sorted for the levels.
     """
     levels, side = [], r0
     while True:
@@ -150,6 +153,16 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
             "px", F.expr("explode(sequence(px - 1, px + 1))")
         )
 
+    def gap2(side, y0, y1, x0, x1):
+        """Least squared distance of a cell (py, px) and a box."""
+        dy, dx = [f"greatest({c} * {side} - {hi}, {lo} - {c} * {side} - {side - 1}, 0)"
+                  for c, lo, hi in (("py", y0, y1), ("px", x0, x1))]
+        return f"{dy} * {dy} + {dx} * {dx}"
+
+    # The distance every coordinate of the box keeps to a representative at most.
+    far = F.expr("power(greatest(abs(y0 - ry), abs(y1 - ry)), 2) + power(greatest(abs(x0 - rx), abs(x1 - rx)), 2)").cast("long")
+    home = [*by, "hy", "hx"]
+    box = ["y0", "y1", "x0", "x1"]
     all_levels = F.expr(f"explode(sequence(0, {len(levels) - 1}))")
     pyramid = (
         parents(base.withColumn("k", all_levels), "cy", "cx")
@@ -157,24 +170,26 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
         .agg(F.min("rep").alias("rep"))
     )
     reps = pyramid.select(*by, "k", "py", "px", F.col("rep.ry").alias("ry"), F.col("rep.rx").alias("rx"))
-    homes = _with_cells(missing, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"})
+    placed = _with_cells(missing, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"})
+    homes = placed.groupBy(*home).agg(
+        F.min("ly").alias("y0"), F.max("ly").alias("y1"), F.min("lx").alias("x0"), F.max("lx").alias("x1")
+    )
     around = blocks(parents(homes.withColumn("k", all_levels), "hy", "hx"))
     cover = "CASE " + " ".join(f"WHEN ub <= {s * s}L THEN {k}" for k, s in enumerate(levels)) + f" ELSE {len(levels) - 1} END"
     # Smallest level first, then the nearest representative on that level; then the level whose cells
-    # are at least as wide as the bound, so that one 3x3 block covers the circle.
+    # are at least as wide as the bound, so that one 3x3 block covers the circles.
     bound = (
         around.join(reps, [*by, "k", "py", "px"])
-        .withColumn("d2", _d2())
-        .groupBy(*by, "ly", "lx")
+        .withColumn("d2", far)
+        .groupBy(*home, *box)
         .agg(F.min(F.struct("k", "d2")).alias("m"))
-        .select(*by, "ly", "lx", F.col("m.d2").alias("ub"))
+        .select(*home, *box, F.col("m.d2").alias("ub"))
         .withColumn("k", F.expr(cover))
     )
-    search = _with_cells(bound, "ly", "lx", r0).withColumnsRenamed({"cy": "hy", "cx": "hx"})
-    starts = blocks(parents(search, "hy", "hx")).join(reps, [*by, "k", "py", "px"]).select(
-        *by, "ly", "lx", "ub", "k", "py", "px", "ry", "rx"
+    starts = blocks(parents(bound, "hy", "hx")).join(reps, [*by, "k", "py", "px"]).select(
+        *home, *box, "ub", "k", "py", "px", "ry", "rx"
     )
-    own = W.partitionBy(*by, "ly", "lx")
+    own = W.partitionBy(*home)
     kept = None
     for k in reversed(range(len(levels))):
         cells = starts.where(F.col("k") == k)
@@ -182,16 +197,18 @@ def _search_beyond(missing: DataFrame, sites: DataFrame, r0: int, by: Sequence[s
             children = reps.where(F.col("k") == k).withColumns(
                 {"qy": F.expr(f"floor(py / {PYRAMID_FACTOR})"), "qx": F.expr(f"floor(px / {PYRAMID_FACTOR})")}
             )
-            opened = kept.select(*by, "ly", "lx", "ub", F.col("py").alias("qy"), F.col("px").alias("qx"))
+            opened = kept.select(*home, *box, "ub", F.col("py").alias("qy"), F.col("px").alias("qx"))
             cells = cells.unionByName(opened.join(children, [*by, "qy", "qx"]).drop("qy", "qx"))
-        side = levels[k]
-
-        def gap(c, x):
-            return f"greatest({c} * {side} - {x}, {x} - {c} * {side} - {side - 1}, 0)"
-
-        near = cells.withColumn("ub", F.least("ub", F.min(_d2()).over(own)))
-        kept = near.where(F.expr(f"{gap('py', 'ly')} * {gap('py', 'ly')} + {gap('px', 'lx')} * {gap('px', 'lx')} <= ub"))
-    base_cells = kept.select(*by, "ly", "lx", F.col("py").alias("cy"), F.col("px").alias("cx"))
+        near = cells.withColumn("ub", F.least("ub", F.min(far).over(own)))
+        kept = near.where(F.expr(f"{gap2(levels[k], *box)} <= ub"))
+    # One row per home, so a coordinate meets its cells as a list and keeps its own few.
+    lists = kept.groupBy(*home).agg(F.collect_list(F.struct("py", "px", "ry", "rx")).alias("cells"))
+    ub = F.expr("array_min(transform(cells, c -> (ly - c.ry) * (ly - c.ry) + (lx - c.rx) * (lx - c.rx)))")
+    reached = gap2(levels[0], "ly", "ly", "lx", "lx").replace("py", "c.py").replace("px", "c.px")
+    mine = placed.join(lists, home).withColumn("ub", ub).select(
+        *by, "ly", "lx", F.explode(F.expr(f"filter(cells, c -> {reached} <= ub)")).alias("c")
+    )
+    base_cells = mine.select(*by, "ly", "lx", F.col("c.py").alias("cy"), F.col("c.px").alias("cx"))
     pairs = base_cells.join(_with_cells(sites, "ry", "rx", r0), [*by, "cy", "cx"]).withColumn("d2", _d2())
     return _best(pairs, by)
 

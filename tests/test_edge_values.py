@@ -57,6 +57,23 @@ def test_far_search_matches_brute_force_and_stays_small(spark):
     assert rows < 4 * 64 * len(targets), rows
 
 
+def test_far_search_of_crowded_cells_is_made_once_a_cell(spark):
+    """1,800 coordinates of three cells, 200 sites 2 degrees off: the levels are joined by cell, and ties hold."""
+    rng = random.Random(2)
+    targets = sorted({(round(41 + rng.uniform(0, 0.29), 3), round(-8.9 + rng.uniform(0, 0.5), 3)) for _ in range(1800)})
+    sites = [(36.0 + 0.25 * i, -7.0 + 0.3 * j) for i in range(20) for j in range(10)]
+    left = points(spark, [(a, b, 0.0) for a, b in targets]).drop("fwi")
+    near = S.nearest_join(left, points(spark, [(a, b, float(i)) for i, (a, b) in enumerate(sites)]), ["fwi"])
+    got = {(r.latitude, r.longitude): (r.near_latitude, r.near_longitude) for r in near.collect()}
+    place = np.rint(np.array(sites) * 1e4).astype(np.int64)
+    for t in targets:
+        d2 = ((place - np.rint(np.array(t) * 1e4).astype(np.int64)) ** 2).sum(axis=1)
+        best = min(zip(d2.tolist(), place.tolist()))[1]
+        assert [round(c * 1e4) for c in got[t]] == best
+    rows = joined_rows(near)
+    assert rows < 8 * len(targets), rows
+
+
 def joined_rows(df):
     """Largest number of rows any join of the executed plan put out."""
     df._jdf.queryExecution().executedPlan().execute().count()
