@@ -115,14 +115,17 @@ def side(sets: DataFrame, name: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_rows: int,
-           at_once: int = 256) -> DataFrame:
+           sketches: DataFrame | None = None, at_once: int = 256) -> DataFrame:
     """The pairs (a, b) of set ids whose exact sets meet the threshold.
 
+    ``sketches`` is given for pairs not yet compared by their whole sketches; it is shuffled for each side.
     A text travels once for each of its pairs, compressed, to where b's text is. b's that many pairs name
     are salted: each part of about ``at_once`` pairs has its own copy of b's text.
     """
-    pairs = pairs.select("a", "b").distinct().join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-    pairs = store(pairs.where(close_enough(percent, SKETCH)).select("a", "b"))
+    pairs = pairs.select("a", "b").distinct()
+    if sketches is not None:
+        pairs = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(close_enough(percent, SKETCH))
+    pairs = store(pairs.select("a", "b"))
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("parts"))
     salted = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"))
     trips = salted.select(F.col("a").alias("sid"), "b", "salt", "a").unionByName(
@@ -198,12 +201,12 @@ def mixed_lists(placed: DataFrame) -> DataFrame:
     return lists.where("classes > 1").select("one_group", "token", F.col("first.root").alias("major"), F.col("first.top.sid").alias("hub"))
 
 
-def hub_pairs(places: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def hub_pairs(places: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """For every set outside a list's largest class the hub it shares most lists with, if close enough."""
     placed = places.join(members.select("g", "sid", "root", "score"), "g")
     met = placed.join(mixed_lists(placed), LIST).where(F.col("root") != F.col("major"))
     met = met.groupBy(F.col("sid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    met = met.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(close_enough(percent, SKETCH))
+    met = met.join(side(members, "a"), "a").join(side(members, "b"), "b").where(close_enough(percent, SKETCH))
     return met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
@@ -258,9 +261,12 @@ def classes_of_sets(docs: DataFrame, width: int, percent: int, broadcast_rows: i
     score = leads.join(shared, "g").select("g", (F.col("k") / F.size("prefix")).alias("score"))
     members = sets.select("sid", "gid", "n", *SKETCH).join(groups.select("gid", "g"), "gid").drop("gid")
     members = store(members.join(score, "g", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+    # Prefixes are needed no more, and the members have the sketches.
+    wide, sets = sets, store(sets.select("sid", "low", "rep", "text_hash"))
+    discard(wide)
     links, labels = None, None
     for _ in range(rounds):
-        found = verify(hub_pairs(places, rooted(members, labels), sets, percent), sets, docs, width, percent, broadcast_rows)
+        found = verify(hub_pairs(places, rooted(members, labels), percent), sets, docs, width, percent, broadcast_rows)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     placed = places.join(rooted(members, labels), "g")
@@ -269,7 +275,7 @@ def classes_of_sets(docs: DataFrame, width: int, percent: int, broadcast_rows: i
     large = placed.where(100 * F.col("n") > percent * LARGE).select(*LIST, "root", "sid", "n", *SKETCH)
     across = pairs_across(usual, mixed, SKETCH[:NARROW], percent, F.lit(True)).unionByName(
         pairs_across(large, mixed, SKETCH, percent, F.greatest("a_n", "b_n") > LARGE))
-    more = verify(across, sets, docs, width, percent, broadcast_rows)
+    more = verify(across, sets, docs, width, percent, broadcast_rows, members)
     roots = components(links.unionByName(more))
     final = sets.join(roots.withColumnRenamed("node", "_node"), F.col("sid") == F.col("_node"), "left")
     final = final.select("sid", "low", "rep", "text_hash", F.coalesce("root", "sid").alias("root"))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -106,3 +107,20 @@ def test_shingles_tell_long_words_apart():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert N.linked_classes(docs).count() == 0 and N.keep_one_of_each(docs).count() == 0
+
+
+def test_prefixes_do_not_stay_in_the_shared_folder(spark, monkeypatch):
+    """Of the tables a join stores none with prefixes is left, and one with whole sketches."""
+    tables = []
+
+    def keep(df, store=N.store):
+        tables.append(store(df))
+        return tables[-1]
+
+    monkeypatch.setattr(N, "store", keep)
+    rows = corpus()
+    got = N.linked_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 85)
+    left = [t for t in tables if os.path.exists(t.stored_at.removeprefix("file:"))]
+    assert left and not any("prefix" in t.columns for t in left)
+    assert sum(N.SKETCH[-1] in t.columns and "root" not in t.columns for t in left) == 1
