@@ -201,12 +201,12 @@ def mixed_lists(placed: DataFrame) -> DataFrame:
     return lists.where("classes > 1").select("one_group", "token", F.col("first.root").alias("major"), F.col("first.top.sid").alias("hub"))
 
 
-def hub_pairs(places: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def hub_pairs(places: DataFrame, members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """For every set outside a list's largest class the hub it shares most lists with, if close enough."""
     placed = places.join(members.select("g", "sid", "root", "score"), "g")
     met = placed.join(mixed_lists(placed), LIST).where(F.col("root") != F.col("major"))
     met = met.groupBy(F.col("sid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    met = met.join(side(members, "a"), "a").join(side(members, "b"), "b").where(close_enough(percent, SKETCH))
+    met = met.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(close_enough(percent, SKETCH))
     return met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
@@ -266,7 +266,7 @@ def classes_of_sets(docs: DataFrame, width: int, percent: int, broadcast_rows: i
     discard(wide)
     links, labels = None, None
     for _ in range(rounds):
-        found = verify(hub_pairs(places, rooted(members, labels), percent), sets, docs, width, percent, broadcast_rows)
+        found = verify(hub_pairs(places, rooted(members, labels), members, percent), sets, docs, width, percent, broadcast_rows)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     placed = places.join(rooted(members, labels), "g")
