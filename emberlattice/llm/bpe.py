@@ -35,6 +35,9 @@ _BATCH_CHARS = 1 << 20
 _SOLID = re.compile("[^\\s\u180e\u200b\ufeff]")
 _BLANK = (" ", "\t", "\n", "\r")
 SAFE = re.compile(f"(?<={_SOLID.pattern})(?=[{''.join(_BLANK)}])")
+# The text up to the next safe place, without a look back at every character; empty at the end of a text.
+_HOLLOW = "[\\s\u180e\u200b\ufeff]"
+_STRETCH = re.compile(f"{_HOLLOW}*+(?:{_SOLID.pattern}++(?:(?![{''.join(_BLANK)}]){_HOLLOW}++)?+)*+")
 
 
 def default_tokenizer() -> str:
@@ -123,60 +126,105 @@ def bytes_of_ids(content: str) -> tuple[list[bytes], np.ndarray]:
     return out, np.array([len(b) for b in out], dtype=np.int64)
 
 
+def stretches_of(text: str) -> list[str]:
+    """The stretches between the safe places of a text, as ``SAFE.split`` gives them."""
+    parts = _STRETCH.findall(text)
+    if text:
+        parts.pop()
+    return parts
+
+
+def byte_places(text: str, places: np.ndarray) -> np.ndarray:
+    """Places in the UTF-8 bytes of a text, given as numbers of characters."""
+    if text.isascii():
+        return places
+    sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (sizes > 0x7F).astype(np.int64) + (sizes > 0x7FF) + (sizes > 0xFFFF)
+    return np.concatenate([[0], np.cumsum(width)])[places]
+
+
 class Stretches:
     """Encodes pieces stretch by stretch between safe places, each distinct stretch once while it is remembered.
 
-    What is remembered is bounded: beyond ``most`` characters a new batch begins with nothing.
+    What is remembered is bounded: beyond ``most`` characters a new batch begins with the stretches met most often,
+    at most half of that and only those met again.
     """
 
     def __init__(self, content: str, most: int = 3_000_000):
         self.tok, self.most = tokenizer_of(content), most
         self.id_bytes = bytes_of_ids(content)[1]
-        self._forget()
+        self.known: dict[str, int] = defaultdict(count().__next__)  # a new stretch gets the next number
+        self.chars, self.ids = 0, np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each stretch in ``ids``
+        self.met = np.zeros(0, np.int64)  # how often since the last forgetting
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = defaultdict(count().__next__)  # a new stretch gets the next number
-        self.chars, self.ids, self.lengths = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        names = list(self.known)
+        order = np.argsort(-self.met, kind="stable")
+        sizes = np.fromiter(map(len, names), np.int64, len(names))[order]
+        keep = np.sort(order[(np.cumsum(sizes) <= self.most // 2) & (self.met[order] > 1)])
+        names = [names[k] for k in keep.tolist()]
+        self.known = defaultdict(count(len(names)).__next__, zip(names, range(len(names))))
+        self.chars = sum(map(len, names))
+        starts, self.lengths = self.starts[keep], self.lengths[keep]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = self.ids[np.repeat(starts - self.starts, self.lengths) + np.arange(self.lengths.sum())]
+        self.met = np.zeros(len(names), np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode new stretches. Those with a safe place at both ends go through the tokenizer in a row."""
-        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(fresh)
-        row, alone, size = [], [], 0
+        row, alone = [], []
         for k, part in enumerate(fresh):
-            size += len(part)
             (row if part[:1] in _BLANK and _SOLID.match(part[-1:]) else alone).append(k)
+        starts, lengths = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        ids, end = [self.ids], len(self.ids)
         for k, got in zip(alone, _encode_all(self.tok, [fresh[k] for k in alone])):
-            ids[k] = got
+            starts[k], lengths[k] = end, len(got)
+            ids.append(got)
+            end += len(got)
         for at in range(0, len(row), 50_000):
             some = row[at:at + 50_000]
-            got = _encode_all(self.tok, ["".join([fresh[k] for k in some])])[0]
+            parts = [fresh[k] for k in some]
+            text = "".join(parts)
+            got = _encode_all(self.tok, [text])[0]
             edges = np.concatenate([[0], np.cumsum(self.id_bytes[got])])
-            cuts = np.searchsorted(edges, np.cumsum([len(fresh[k].encode("utf-8", "surrogatepass")) for k in some])).tolist()
-            for k, a, b in zip(some, [0, *cuts], cuts):
-                ids[k] = got[a:b]
-        self.chars += size
-        self.ids = np.concatenate([self.ids, *ids])
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            cuts = np.concatenate([[0], np.searchsorted(edges, byte_places(text, np.cumsum(sizes)))])
+            starts[some], lengths[some] = end + cuts[:-1], np.diff(cuts)
+            ids.append(got)
+            end += len(got)
+        self.chars += sum(map(len, fresh))
+        self.ids = np.concatenate(ids)
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > self.most:
             self._forget()
         places, sizes, before = [], [], len(self.known)
         for text in texts:
-            parts = SAFE.split(text)
+            parts = stretches_of(text)
             places.extend(map(self.known.__getitem__, parts))
             sizes.append(len(parts))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
         at = np.array(places, dtype=np.int64)
+        met = np.bincount(at, minlength=len(self.known))
+        met[:before] += self.met
+        self.met = met
         width = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(width)])
-        start = (np.cumsum(self.lengths) - self.lengths)[at] - ends[:-1]
+        start = self.starts[at] - ends[:-1]
         flat = self.ids[np.repeat(start, width) + np.arange(ends[-1])]
         edges = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
         return [flat[a:b] for a, b in zip(edges, edges[1:])]
 
 
+@lru_cache(maxsize=2)
+def pieces_of(content: str) -> Stretches:
+    """The stretches that a worker remembers from one task to the next."""
+    return Stretches(content)
+
+
 class Piece:
     """A stretch of a text with its own ids and the byte places where each id starts."""
 
@@ -193,12 +241,8 @@ class Piece:
 
 def safe_places(text: str) -> np.ndarray:
     """Byte places of a text where every encoding starts a new id, whatever stands further on both sides."""
-    places = [m.start() for m in SAFE.finditer(text)]
-    if text.isascii():
-        return np.array(places, dtype=np.int64)
-    sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 1 + (sizes > 0x7F).astype(np.int64) + (sizes > 0x7FF) + (sizes > 0xFFFF)
-    return np.concatenate([[0], np.cumsum(width)])[places] if places else np.zeros(0, np.int64)
+    parts = stretches_of(text)
+    return byte_places(text, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[:-1])
 
 
 class Joints:
@@ -355,7 +399,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
         F.collect_list(F.struct("start", "end", "digest")).alias("chunks")))
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Stretches(content.value)
+        pieces = pieces_of(content.value)
         packed = packing(len(pieces.id_bytes))
         for batch in sliced(batches):
             digests, texts = [], []
@@ -382,7 +426,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, broadcast_bytes: int = 16_000
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["doc_id", "h", "small"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Stretches(content.value)
+        pieces = pieces_of(content.value)
         table, lengths = bytes_of_ids(content.value)
         packed = packing(len(lengths))
         for batch in sliced(batches, 500):

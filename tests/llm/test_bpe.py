@@ -79,6 +79,27 @@ def test_what_is_remembered_does_not_matter():
     assert [i.tolist() for i in bpe.Stretches(CONTENT).encode([])] == []
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PARTS, max_size=60).map("".join))
+def test_stretches_end_at_safe_places(text):
+    assert bpe.stretches_of(text) == bpe.SAFE.split(text)
+    assert bpe.safe_places(text).tolist() == [len(text[:m.start()].encode()) for m in bpe.SAFE.finditer(text)]
+
+
+def test_frequent_stretches_are_encoded_once(monkeypatch):
+    """What comes often stays known when the memory is full and from one task to the next; the rest is forgotten."""
+    given_, encode_all = [], bpe._encode_all
+    monkeypatch.setattr(bpe, "_encode_all", lambda tok, texts: given_.extend(texts) or encode_all(tok, texts))
+    pieces = bpe.Stretches(CONTENT, 400)
+    for k in range(40):
+        text = f"start often again{k} often naïve rare{k} often naïve seldom{k}"
+        assert [i.tolist() for i in pieces.encode([text])] == [direct(text)[0]]
+        assert pieces.chars <= 400 + len(text)
+    said = "".join(given_)
+    assert said.count(" often") == said.count(" naïve") == 1 and said.count("rare") == 40
+    assert bpe.pieces_of(CONTENT) is bpe.pieces_of("".join([CONTENT[:9], CONTENT[9:]]))
+
+
 def test_chunks_depend_on_content():
     rng = random.Random(4)
     shared = prose(rng, 1500).encode()
