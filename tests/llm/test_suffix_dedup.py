@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlattice.llm import suffix_dedup as S
 from emberlattice.llm.common import table
@@ -69,6 +70,64 @@ def test_cover_holds_a_common_sample_across_chunks(monkeypatch):
     assert len(inner[0]) == 1 and inner[0][0] + 137 in want[0]
 
 
+def common_passage(n):
+    rng = random.Random(31)
+    noise = lambda k: "".join(rng.choices("abcdefghij klmno", k=k))
+    passage = noise(900)
+    return [(i, noise(rng.randint(300, 500)) + passage + noise(rng.randint(0, 500))) for i in range(n)]
+
+
+def test_common_passage_is_spread_over_tasks(spark):
+    rows = common_passage(1200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        _, ranges = S.repeated_ranges(docs)
+        sizes = [r["n"] for r in ranges.groupBy(F.spark_partition_id()).agg(F.countDistinct("h").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # No task holds rows of all texts.
+    assert max(sizes) < 1000
+    assert sorted(map(tuple, S.op5_suffix_dedup(docs).collect()), key=str) == brute(rows, 400)
+
+
+def test_parts_name_equal_strings_alike():
+    rng = np.random.default_rng(4)
+    base = bytes(rng.integers(97, 123, 672, dtype=np.uint8))
+    contexts = []
+    for i in range(90):
+        text = bytearray(base)
+        for at in rng.integers(0, 672, 2):
+            text[at] = 65 + i % 5
+        before, after = (int(rng.integers(0, 273)), int(rng.integers(128, 401))) if i % 2 else (272, 400)
+        if before + after >= 400:
+            contexts.append((before, bytes(text[272 - before:272 + after])))
+    _, valid = S.string_hashes(contexts, 400)
+    names = {}
+    for i, part, core, body, first, last in zip(*(x.tolist() for x in S.part_names(contexts, 400))):
+        left, data = contexts[i]
+        assert valid[i, first:last + 1].all() and first // S.PART == last // S.PART == part
+        names.update({(i, d): (part, core, body, first, last) for d in range(first, last + 1)})
+        start, end = part * S.PART, min(part * S.PART + S.PART - 1, 272)
+        assert len(data[left - start:left + 400 - end]) == 400 - end + start
+    assert set(names) == set(zip(*(x.tolist() for x in np.nonzero(valid))))
+    strings = {}
+    for (i, d), (part, core, *_) in names.items():
+        left, data = contexts[i]
+        strings.setdefault((d, data[left - d:left - d + 400]), set()).add((part, core))
+    assert all(len(x) == 1 for x in strings.values())
+    bodies = {}
+    for i, _d in names:
+        part, core, body, first, last = names[i, _d]
+        left, data = contexts[i]
+        bodies.setdefault((part, core, body, first, last), set()).add(data[left - last:left + 400 - first])
+    assert all(len(x) == 1 for x in bodies.values()) and len(bodies) > 100
+
+
 def test_empty_table(spark):
     assert S.op5_suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
